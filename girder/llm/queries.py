@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from girder.llm import media_boxes, simhash_tiles, source_mix
+from girder.llm import bpe_automaton, media_boxes, pii_crf, simhash_tiles, source_mix
 from girder.llm.common import table
 
 
+def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.digests(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken(table(spark, sf_dir, "documents"))
 
@@ -20,5 +28,5 @@ def op9_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_source_mix, op8_media_boxes, op9_simhash_tiles)}
+QUERIES = {f.__name__: f for f in (op2_pii_crf, op5_bpe_automaton, op7_source_mix, op8_media_boxes, op9_simhash_tiles)}
 ORACLE_SQL: dict[str, str] = {}
