@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from girder.llm import bpe_automaton, media_boxes, pii_crf, simhash_tiles, source_mix
+from girder.llm import bpe_automaton, media_boxes, pii_crf, simhash_tiles, site_quality, source_mix, tag_paths
 from girder.llm.common import table
 
 
@@ -12,10 +12,18 @@ def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.digests(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.digests(spark, sf_dir)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken(table(spark, sf_dir, "documents"))
 
@@ -28,5 +36,5 @@ def op9_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_crf, op5_bpe_automaton, op7_source_mix, op8_media_boxes, op9_simhash_tiles)}
+QUERIES = {f.__name__: f for f in (op2_pii_crf, op4_tag_paths, op5_bpe_automaton, op6_site_quality, op7_source_mix, op8_media_boxes, op9_simhash_tiles)}
 ORACLE_SQL: dict[str, str] = {}
