@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from girder.llm import bpe_automaton, media_boxes, pii_crf, simhash_tiles, site_quality, source_mix, spot_sigs, tag_paths
+from girder.llm import bpe_automaton, media_boxes, pii_crf, simhash_tiles, site_quality, source_mix, spot_sigs, substring_dedup, tag_paths
 from girder.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.digests(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op9_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_crf, op3_spot_sigs, op4_tag_paths, op5_bpe_automaton, op6_site_quality, op7_source_mix, op8_media_boxes, op9_simhash_tiles)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii_crf, op3_spot_sigs, op4_tag_paths, op5_bpe_automaton, op6_site_quality, op7_source_mix, op8_media_boxes, op9_simhash_tiles)}
 ORACLE_SQL: dict[str, str] = {}
