@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from girder.llm import bpe_automaton, media_boxes, pii_crf, simhash_tiles, site_quality, source_mix, spot_sigs, substring_dedup, tag_paths
+from girder.llm import bpe_automaton, id_files, media_boxes, pii_crf, simhash_tiles, site_quality, source_mix, spot_sigs, substring_dedup, tag_paths
 from girder.llm.common import table
 
 
@@ -44,5 +44,9 @@ def op9_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii_crf, op3_spot_sigs, op4_tag_paths, op5_bpe_automaton, op6_site_quality, op7_source_mix, op8_media_boxes, op9_simhash_tiles)}
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii_crf, op3_spot_sigs, op4_tag_paths, op5_bpe_automaton, op6_site_quality, op7_source_mix, op8_media_boxes, op9_simhash_tiles, op10_id_files)}
 ORACLE_SQL: dict[str, str] = {}
