@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.llm.common import stash
@@ -129,15 +129,30 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(_links, "a long, b long")
 
 
+def placed(marked: DataFrame) -> DataFrame:
+    """(fp, root): the group of each distinct fingerprint, by its least member."""
+    nodes = marked.select("fp").distinct()
+    roots = stash(components(links(nodes)))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id among all documents whose fingerprints are linked, step by step."""
     marked = stash(fingerprints(documents))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = stash(components(links(nodes.select("fp"))))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(table, "fp").select("doc_id", "fp", "component_id")
+    groups = stash(placed(marked))
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(groups.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The rows of `documents` with the smallest id of their group (null ids last, equal ids by a hash of the text)."""
+    keyed = documents.withColumn("__k", F.xxhash64("doc_id", "text"))
+    marked = stash(keyed.select("doc_id", "__k", "text").mapInPandas(_fingerprints, "doc_id long, __k long, fp long"))
+    best = marked.join(placed(marked), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k")).alias("best"))
+    kept = keyed.join(best.select(F.col("best.__k").alias("__best")).distinct(), F.col("__k") == F.col("__best"))
+    others = [c for c in documents.columns if c != "text"]
+    first = Window.partitionBy("__k").orderBy(*others)
+    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*documents.columns)
 
 
 def digests(documents: DataFrame) -> DataFrame:
