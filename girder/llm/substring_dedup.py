@@ -230,7 +230,8 @@ def intervals(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stash(cut.join(totals, "key"))
     kinds = shared.groupBy("key", "whole").agg(F.count("*").alias("weight"), F.min(F.struct("k", "first")).alias("at"), F.first("n").alias("n"), F.first("total").alias("total"))
     chosen = kinds.select(F.col("at.k").alias("d"), F.struct(F.col("at.first").alias("first"), "n", "key", "whole", "weight", "total").alias("x")).groupBy("d").agg(F.collect_list("x").alias("wanted"))
-    sent = rows.select("doc_id", "k", "text").join(chosen, F.col("k") == F.col("d")).select("text", "wanted").mapInPandas(_send, SENT)
+    # the same columns as in the last join, so that one exchange of the texts serves both
+    sent = rows.select("doc_id", "k", "text").join(chosen, F.col("k") == F.col("d")).select("doc_id", "text", "wanted").mapInPandas(_send, SENT)
     sent = sent.groupBy("shard", "key", "whole", "off", "n").agg(F.max("weight").alias("weight"), F.first("words").alias("words"))
     found = sent.repartition("shard").sortWithinPartitions("shard").select("shard", "key", "whole", "off", "n", "weight", "words").mapInPandas(_search, FOUND)
     spans = shared.select("k", "first", "n", "key", "whole").join(found, ["key", "whole"]).select("k", "first", "n", "whole", "a", "b")
