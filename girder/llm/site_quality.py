@@ -31,7 +31,7 @@ from girder.llm.common import stash, table
 
 MOST_LABELLED = 12_000
 LEXICON = 200  # words kept at most, the most telling first
-LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT, LEAST_Z = 3, 0.08, 2.0, 2.5
+LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT, LEAST_Z = 3, 0.15, 2.0, 2.5
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[^\w\s]{2,}(?=\s|\Z)")

@@ -104,7 +104,7 @@ def digests(documents: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id with the class of its fingerprint, and the pairs of classes at or above the likeness.
+    """(members, links): doc_id with the class of its fingerprint and its spots, and the pairs of classes at or above the likeness.
 
     Equal sets are one class, so copies never form pairs. Two sets of likeness t share a spot among the first
     n - ceil(t n) + 1 of each in any common order; the order here is by the spots' frequency, rarest first, and by length
@@ -125,4 +125,4 @@ def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> tuple[Dat
     pairs = a.join(b, (F.col("spot") == F.col("spot_b")) & (F.col("pa") == F.col("pb")) & fits).select("a", "b").distinct()
     left, right = sets.select(F.col("class_id").alias("a"), F.col("sig").alias("sa")), sets.select(F.col("class_id").alias("b"), F.col("sig").alias("sb"))
     links = pairs.join(left, "a").join(right, "b").withColumn("likeness", likeness(F.col("sa"), F.col("sb"))).filter(F.col("likeness") >= similar - 1e-12)
-    return members.select("doc_id", "class_id"), links.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), "likeness")
+    return members.select("doc_id", "class_id", "sig"), links.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), "likeness")
