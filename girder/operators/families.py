@@ -26,12 +26,26 @@ def violations(rows: DataFrame, kind: str, file: Column, subject: Column) -> Dat
     return rows.select(F.lit(kind).alias("kind"), F.col("name").alias("rule_name"), "message", file.alias("file"), subject.cast("string").alias("subject"))
 
 
+def kept(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows for which the condition holds, judged above everything that was planned so far.
+
+    The condition becomes the output of a generator, which the optimizer does not look through: it would otherwise copy
+    pattern expressions into joins and infer filters from them for one side, where the path is not known.
+    """
+    return rows.withColumn("__hit", F.explode(F.array(condition))).filter("__hit").drop("__hit")
+
+
+def matched(files: DataFrame, rules: DataFrame, condition: Column) -> DataFrame:
+    """Files with the rules that the condition pairs them with; the rule table is small by construction, and broadcast."""
+    return kept(files.crossJoin(F.broadcast(rules)), condition)
+
+
 def rules_selecting(files: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """Files with each rule that selects them and its captures. A file that no rule selects is gone before any facts are
     joined, so its imports are never resolved."""
-    caught = captures(F.col("from_"), F.col("groups"), F.col("from_not"), F.col(path))
     picked = any_match(F.col("from_"), F.col(path)) & ~any_match(F.col("from_not"), F.col(path))
-    return files.join(F.broadcast(rules), picked).withColumn("captures", caught)
+    caught = captures(F.col("from_"), F.col("groups"), F.col("from_not"), F.col(path))
+    return matched(files, rules, picked).withColumn("captures", F.explode(F.array(caught)))
 
 
 def import_violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
@@ -40,7 +54,7 @@ def import_violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
     of_kind = F.col("dependency_kind").isNull() | (F.col("dependency_kind") == F.col("target_kind"))
     granted = F.coalesce((F.col("target_kind") == "external") & F.array_contains("externals", F.col("target_package")), F.lit(False))
     hit = of_kind & ~granted & reportable(F.col("to"), F.col("to_not"), F.col("captures"), F.col("target_path"))
-    return violations(selected.filter(hit), "import", F.col("path"), F.col("target_path"))
+    return violations(kept(selected, hit), "import", F.col("path"), F.col("target_path"))
 
 
 def unresolved(imports: DataFrame, targets: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +69,7 @@ def export_violations(bindings: DataFrame, rules: DataFrame) -> DataFrame:
     """bindings: path, specifier, bind_ord, symbol, binding_kind, target_path. A rule with a fix reports an edge once."""
     selected = rules_selecting(bindings, rules.withColumnRenamed("kinds", "rule_kinds"))
     covered = F.array_contains("rule_kinds", F.col("binding_kind")) & (F.col("symbols").isNull() | F.array_contains("symbols", F.col("symbol")))
-    hit = selected.filter(covered & reportable(F.col("to"), F.col("to_not"), F.col("captures"), F.col("target_path")))
+    hit = kept(selected, covered & reportable(F.col("to"), F.col("to_not"), F.col("captures"), F.col("target_path")))
     each = F.when(F.col("fix").isNull(), F.col("bind_ord")).otherwise(F.lit(-1))
     grouped = hit.withColumn("each", each).groupBy("path", "specifier", "target_path", "ord", "name", "message", "each").agg(F.array_sort(F.collect_list(F.struct("bind_ord", "symbol"))).alias("hits"))
     symbols = F.array_join(F.transform("hits", lambda h: h["symbol"]), ",")
@@ -74,7 +88,7 @@ def member_violations(sites: DataFrame, rules: DataFrame) -> DataFrame:
         & ((F.size("match") == 0) | any_match(F.col("match"), site))
         & ~any_match(F.col("match_not"), site)
     )
-    return violations(r.filter(governs & ~any_match(F.col("allow"), site)), "member", F.col("path"), site)
+    return violations(kept(r, governs & ~any_match(F.col("allow"), site)), "member", F.col("path"), site)
 
 
 def surface_violations(files: DataFrame, sites: DataFrame, rules: DataFrame) -> DataFrame:
@@ -89,11 +103,11 @@ def surface_violations(files: DataFrame, sites: DataFrame, rules: DataFrame) ->
         & ((F.size("match") == 0) | any_match(F.col("match"), name))
         & ~any_match(F.col("match_not"), name)
     )
-    spoken = selected.filter("demand <> 'count'").join(s, (F.col("path") == F.col("site_path")) & governs)
+    spoken = kept(selected.join(s, F.col("path") == F.col("site_path")), governs)
     bad = F.when(F.col("demand") == "forbid", F.lit(True)).when(F.col("demand") == "allow", ~any_match(F.col("allow"), name)).otherwise(~any_match(F.array("convention"), name))
-    per_site = violations(spoken.filter(bad), "surface", F.col("path"), name)
-    counted = selected.filter("demand = 'count'").join(s, (F.col("path") == F.col("site_path")) & governs, "left")
-    counted = counted.groupBy("path", "ord", "name", "message", "least", "most").agg(F.count("site_path").alias("n"))
+    per_site = violations(kept(spoken.filter("demand <> 'count'"), bad), "surface", F.col("path"), name)
+    n = spoken.filter("demand = 'count'").groupBy("path", "ord").agg(F.count("*").alias("n"))
+    counted = selected.filter("demand = 'count'").select("path", "ord", "name", "message", "least", "most").join(n, ["path", "ord"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     out = (F.col("n") < F.coalesce("least", F.lit(0))) | (F.col("n") > F.coalesce(F.col("most").cast("long"), F.lit((1 << 62))))
     return per_site.unionByName(violations(counted.filter(out), "surface", F.col("path"), F.lit(None)))
 
@@ -101,7 +115,7 @@ def surface_violations(files: DataFrame, sites: DataFrame, rules: DataFrame) ->
 def parity_violations(files: DataFrame, paths: DataFrame, rules: DataFrame) -> DataFrame:
     """Required siblings that no path on disk, walked or not, supplies."""
     path = F.col("path")
-    picked = files.select("path").join(F.broadcast(rules), any_match(F.col("file"), path) & ~any_match(F.col("file_not"), path))
+    picked = matched(files.select("path"), rules, any_match(F.col("file"), path) & ~any_match(F.col("file_not"), path))
     sibling = resolved(dirname(path), F.replace(F.col("template"), F.lit("{base}"), base_of(basename(path))))
     wanted = picked.withColumn("template", F.explode("requires")).withColumn("sibling", sibling)
     missing = wanted.join(paths.select(F.col("path").alias("on_disk")), F.col("sibling") == F.col("on_disk"), "left_anti")
@@ -119,11 +133,11 @@ def naming_violations(files: DataFrame, rules: DataFrame) -> DataFrame:
             F.when(z["groups"] >= F.col("same_as"), F.call_function("regexp_extract", path, z["file"], F.least(F.col("same_as"), z["groups"]))).alias("expected"),
         ),
     )
-    named = files.select("path").join(F.broadcast(rules), any_match(F.col("file"), path) & ~any_match(F.col("file_not"), path))
+    named = matched(files.select("path"), rules, any_match(F.col("file"), path) & ~any_match(F.col("file_not"), path))
     named = named.withColumn("hit", F.get(F.filter(tries, lambda t: t["ok"] & (t["subject"] != "")), F.lit(0))).filter("hit is not null")
     same = F.coalesce(F.col("hit.subject") == F.col("hit.expected"), F.lit(False))
     fine = F.when(F.col("same_as").isNotNull(), same).otherwise(F.col("convention").isNull() | F.coalesce(any_match(F.array("convention"), F.col("hit.subject")), F.lit(False)))
-    return violations(named.filter(~fine), "structure", path, F.col("hit.subject"))
+    return violations(kept(named, ~fine), "structure", path, F.col("hit.subject"))
 
 
 def layout_violations(files: DataFrame, folders: DataFrame) -> DataFrame:
@@ -135,14 +149,14 @@ def layout_violations(files: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def governed_files(files: DataFrame, folders: DataFrame) -> DataFrame:
-    return files.select("path").join(F.broadcast(folders), any_match(F.col("folder"), dirname(F.col("path"))))
+    return matched(files.select("path"), folders, any_match(F.col("folder"), dirname(F.col("path"))))
 
 
 def root_violations(files: DataFrame, folders: DataFrame, roots: DataFrame) -> DataFrame:
     """Files below a root in folders that no folder rule governs; the first root is blamed, the folder is the subject."""
     path = F.col("path")
     stray = files.select("path").join(governed_files(files, folders).select("path"), "path", "left_anti")
-    found = stray.join(F.broadcast(roots.withColumnRenamed("path", "root")), any_match(F.col("root"), path)).groupBy("path").agg(F.min_by(F.struct("name", "message"), "ord").alias("rule"))
+    found = matched(stray, roots.withColumnRenamed("path", "root"), any_match(F.col("root"), path)).groupBy("path").agg(F.min_by(F.struct("name", "message"), "ord").alias("rule"))
     return violations(found.select("path", "rule.name", "rule.message"), "structure", path, dirname(path))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.functions.text import ancestors, basename, dirname, round_measure
-from girder.operators.families import fingerprint, governed_files, rules_selecting
+from girder.operators.families import fingerprint, governed_files, kept, matched, rules_selecting
 from girder.plans.patterns import any_match, substituted
 
 OPEN_LAYOUT = r".*"  # the file pattern of a folder rule that admits any name
@@ -32,7 +32,7 @@ def reach_of(files: DataFrame, imports: DataFrame | None = None, folders: DataFr
             hits.append(rules_selecting(out, rules).select("path", F.lit(name).alias("family")))
     if graph is not None:
         inside = any_match(F.col("within"), F.col("path")) & ~any_match(F.col("within_not"), F.col("path"))
-        hits.append(out.join(F.broadcast(graph), inside).select("path", F.lit("graph").alias("family")))
+        hits.append(matched(out, graph, inside).select("path", F.lit("graph").alias("family")))
     if hits:
         flags = reduce(DataFrame.unionByName, hits).groupBy("path").agg(*(F.bool_or(F.col("family") == n).alias(n) for n in ("imports", "members", "surface", "graph")))
         out = out.join(flags, "path", "left")
@@ -88,7 +88,7 @@ def slack_of(files: DataFrame, edges: DataFrame, rules: DataFrame, allowances: D
     selected = rules_selecting(edges, rules).select("ord", "captures", "target_path", "target_kind", "target_package")
     external = (F.col("allow_kind") == "external") & (F.col("target_kind") == "external") & (F.col("target_package") == F.col("entry"))
     allowed = (F.col("allow_kind") == "allow") & F.col("pattern").isNotNull() & any_match(substituted(F.array("pattern"), F.col("captures")), F.col("target_path"))
-    used = selected.join(F.broadcast(allowances.filter("pattern is not null or allow_kind = 'external'")), "ord").filter(external | allowed).select("node", "allow_kind", "entry").distinct().withColumn("used", F.lit(True))
+    used = kept(selected.join(F.broadcast(allowances), "ord"), F.coalesce(external, F.lit(False)) | allowed).select("node", "allow_kind", "entry").distinct().withColumn("used", F.lit(True))
     rows = held.select("node", "allow_kind", "entry", "fragment").distinct().join(used, ["node", "allow_kind", "entry"], "left")
     return rows.groupBy(F.coalesce("fragment", "node").alias("place"), F.col("fragment").isNotNull().alias("is_fragment"), "allow_kind", "entry").agg(F.count_distinct(F.when(F.col("used"), F.col("node"))).alias("used_at"), F.count_distinct("node").alias("of"))
 

@@ -431,11 +431,11 @@ def detector_file(spark, d):
 
 
 @query(
-    f"""WITH {MEMBERS_SQL}, f AS (SELECT DISTINCT regexp_extract(path, '^(src/u[0-9]+)/', 1) || '.ts' AS path FROM vm), m AS (SELECT DISTINCT regexp_extract(path, '^(src/u[0-9]+)/', 1) || '.ts' AS path, name, in_decl FROM vm WHERE in_decl IS NOT NULL)
+    f"""WITH {MEMBERS_SQL}, f AS (SELECT DISTINCT regexp_extract(path, '^(src/u[0-9]+/e[0-9]{{1,2}})', 1) || '.ts' AS path FROM vm), m AS (SELECT DISTINCT regexp_extract(path, '^(src/u[0-9]+/e[0-9]{{1,2}})', 1) || '.ts' AS path, name, in_decl FROM vm WHERE in_decl IS NOT NULL)
 SELECT DISTINCT path, in_decl AS key FROM m a WHERE name = 'error' AND NOT regexp_matches(path, 'u3') AND NOT EXISTS (SELECT 1 FROM m b WHERE b.path = a.path AND b.in_decl = a.in_decl AND b.name = 'signup')"""
 )
 def detector_declaration(spark, d):
-    m = _members(spark, d).filter("in_decl is not null").select(F.concat(F.regexp_extract("path", "^(src/u[0-9]+)/", 1), F.lit(".ts")).alias("path"), "name", F.col("in_decl").alias("key")).distinct().withColumn("anchor", F.col("key"))
+    m = _members(spark, d).filter("in_decl is not null").select(F.concat(F.regexp_extract("path", "^(src/u[0-9]+/e[0-9]{1,2})", 1), F.lit(".ts")).alias("path"), "name", F.col("in_decl").alias("key")).distinct().withColumn("anchor", F.col("key"))
     files = m.select("path").distinct().withColumn("text", F.lit(""))
     leaf = lambda n: D.Term("members", rows=m.filter(F.col("name") == n).select("path", "key", "anchor"), level="declaration")
     return D.candidates(files, D.all_of(D.Term("path", file_not=["u3"]), leaf("error"), D.none_of(leaf("signup"))), "declaration").select("path", "key")

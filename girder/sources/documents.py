@@ -17,7 +17,7 @@ class Refused(ValueError):
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """(entry); a malformed baseline reads as empty."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", BASELINE)["entries"]).alias("entry")).filter("entry is not null").distinct()
 
 
@@ -27,7 +27,7 @@ def baseline_document(entries: list[str]) -> str:
 
 def read_ledgers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sectors, holdouts, concessions) of ledger documents named <objective>.json; a malformed one is refused."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("objective"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("objective"), "value")
     known = F.array(*map(F.lit, ("version", "kind", "created", "sectors", "concessions", "direction")))
     bad = raw.filter(F.json_object_keys("value").isNull() | (F.size(F.array_except(F.json_object_keys("value"), known)) > 0)).select("objective").limit(5).collect()
     if bad:

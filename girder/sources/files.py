@@ -13,13 +13,25 @@ EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".sv
 ALIASES = {".js": (".ts", ".tsx", ".js"), ".jsx": (".tsx", ".jsx"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cjs")}
 
 
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(full, size) of all files below a root, by the store's own listing, as a file scan lists them; names only."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    it, rows = top.getFileSystem(conf).listFiles(top, True), []
+    while it.hasNext():
+        f = it.next()
+        rows.append((f.getPath().toUri().getPath(), f.getLen()))
+    return spark.createDataFrame(rows, "full string, size long")
+
+
 def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, ignored: str = r"\.d\.[cm]?ts$") -> DataFrame:
     """(path, text) below a root, read whole and in parallel by Spark; paths are relative with forward slashes."""
-    raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)  # readers skip empty files, which the listing adds
     prefix = root.rstrip("/").split("://")[-1].rstrip("/") + "/"
-    full = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z]+:(//[^/]*)?", "")
-    path = F.expr(f"substr(url_decode(replace(full, '+', '%2B')), {len(prefix) + 1})")
-    rows = raw.select(full.alias("full"), F.col("value").alias("text")).select(path.alias("path"), "text")
+    full = F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", "")
+    texts = raw.select(full.alias("full"), F.decode("content", "utf-8").alias("text"))
+    empty = listed(spark, root).filter("size = 0").select("full", F.lit("").alias("text"))
+    rows = texts.unionByName(empty).select(F.substring("full", F.lit(len(prefix) + 1), F.length("full")).alias("path"), "text")
     ext = F.regexp_extract("path", r"(\.[^./]+)$", 1)
     skip = "(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"
     return rows.filter(ext.isin(*extensions) & ~F.col("path").rlike(skip) & ~F.col("path").rlike(ignored))
