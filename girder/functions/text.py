@@ -107,14 +107,17 @@ def number_of(text: Column) -> Column:
 
 
 def singular(name: Column) -> Column:
-    """Singular of a plural folder name, by its ending."""
-    return F.when(name.rlike("ies$"), F.regexp_replace(name, "ies$", "y")).when(name.rlike("(ses|xes|zes|ches|shes)$"), F.regexp_replace(name, "es$", "")).when(name.rlike("[^s]s$"), F.regexp_replace(name, "s$", "")).otherwise(name)
+    """What one of a plural folder is called, by the ending; `name` for what cannot be a word."""
+    word = F.regexp_replace(name, "[^A-Za-z0-9]", "")
+    one = F.when(word.rlike("ies$"), F.regexp_replace(word, "ies$", "y")).when(word.rlike("(ses|xes|zes|shes|ches)$"), F.regexp_replace(word, "es$", "")).when(word.rlike("[^s]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
+    return F.when((one == "") | one.rlike("^[0-9]"), "name").otherwise(one)
 
 
-def stereotype(name: Column) -> Column:
-    """`*.rest` of a file name with three dot-separated parts or more, else null."""
+def stereotype(path: Column) -> Column:
+    """`*.rest` of a file name with three dot-separated parts or more, else the name itself."""
+    name = basename(path)
     parts = F.split(name, r"\.")
-    return F.when(F.size(parts) >= 3, F.concat(F.lit("*."), F.array_join(F.slice(parts, 2, F.size(parts) - 1), ".")))
+    return F.when(F.size(parts) >= 3, F.concat(F.lit("*."), F.array_join(F.slice(parts, 2, F.size(parts) - 1), "."))).otherwise(name)
 
 
 def floor_percent(share: Column) -> Column:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from girder.functions.text import ancestors, basename, dirname, round_measure
 from girder.operators.families import fingerprint, governed_files, kept, matched, rules_selecting
-from girder.plans.patterns import any_match, substituted
+from girder.plans.patterns import any_match, substituted, to_java
 
-OPEN_LAYOUT = r".*"  # the file pattern of a folder rule that admits any name
+# Fixed value: the file pattern of a folder rule that admits any name.
+OPEN_LAYOUT = r"^.*$"
 
 
 def counted_files(files: DataFrame, outside: Column) -> DataFrame:
@@ -39,7 +40,7 @@ def reach_of(files: DataFrame, imports: DataFrame | None = None, folders: DataFr
     else:
         out = out.withColumns({n: F.lit(None).cast("boolean") for n in ("imports", "members", "surface", "graph")})
     if folders is not None:
-        opened = governed_files(files, folders).groupBy("path").agg(F.bool_and(F.array_contains("files", OPEN_LAYOUT)).alias("all_open"))
+        opened = governed_files(files, folders).groupBy("path").agg(F.bool_and(F.array_contains("files", to_java(OPEN_LAYOUT))).alias("all_open"))
         out = out.join(opened, "path", "left").withColumn("structure", F.when(F.col("all_open"), "open").when(~F.col("all_open"), "enumerated"))
     else:
         out = out.withColumn("structure", F.lit(None).cast("string"))

@@ -20,6 +20,7 @@ from girder.plans.rules import Allowance, ExportRule, FolderRule, GraphRule, Imp
 TOP = frozenset("version roots baseline ledger resolve aliases exports graph limits defs tree structure campaigns message".split())
 NODE = frozenset("message partial layout name imports importedBy members surface requires requiresNot children use".split())
 IMPORTS = frozenset("allow external deny reset unrestricted message use".split())
+OPEN_LAYOUT = "^.*$"  # a folder that admits any file
 FILES = ("architecture.yaml", "architecture.yml", "architecture.json")
 
 
@@ -241,14 +242,14 @@ def lowered(manifest: dict, origin: dict[tuple[str, ...], str] | None = None) ->
         if folder and children and not node.get("partial"):
             files = [own_pattern(source(o.strip(), dict(groups), False).replace("\\1", "[^/]+")) for k in children if not k.endswith("/") for o in k.split("|")]
             if node.get("layout") == "open":
-                files = [".*"]
+                files = [OPEN_LAYOUT]
             if files:
                 rule = FolderRule(f"{name}/layout", node.get("message", "This folder does not admit that file."), [mine], files)
                 out.folders.append(rule)
-                if files != [".*"]:
+                if files != [OPEN_LAYOUT]:
                     out.probes.append(("layout", rule, {"path": probe_path(glob) + "/zz probe stray"}))
         elif folder and node.get("layout") == "open":
-            out.folders.append(FolderRule(f"{name}/layout", node.get("message", ""), [mine], [".*"]))
+            out.folders.append(FolderRule(f"{name}/layout", node.get("message", ""), [mine], [OPEN_LAYOUT]))
         if not at["path"] and folder and not node.get("partial") and children:
             out.roots.append(RootRule(f"{name}/root", node.get("message", "This folder is no part of the taxonomy."), [inside]))
         below = {"path": path, "glob": glob, "name": name, "groups": groups, "allow": allowances, "message": message, "naming": naming}

@@ -159,7 +159,7 @@ def surface_count(spark, d):
 
 # -- structure ---------------------------------------------------------------------------------------------------------
 
-STRUCTURE_FOLDERS = [FolderRule("brand-1x", "f", ["/brand-1[0-9]*$"], [r"^(red|blue)-"]), FolderRule("brand-12", "g", ["/brand-12$"], [r"^hot-"]), FolderRule("open", "o", ["^src/promo/"], [r".*"])]
+STRUCTURE_FOLDERS = [FolderRule("brand-1x", "f", ["/brand-1[0-9]*$"], [r"^(red|blue)-"]), FolderRule("brand-12", "g", ["/brand-12$"], [r"^hot-"]), FolderRule("open", "o", ["^src/promo/"], [M.OPEN_LAYOUT])]
 FOLDERS_SQL = """CASE WHEN regexp_matches(folder, '/brand-1[0-9]*$') THEN 1 ELSE 0 END AS g1, CASE WHEN regexp_matches(folder, '/brand-12$') THEN 1 ELSE 0 END AS g2, CASE WHEN regexp_matches(folder, '^src/promo/') THEN 1 ELSE 0 END AS g3"""
 VPARTS = VFILES + """, vparts AS (SELECT path, regexp_extract(path, '^(.*)/', 1) AS folder, regexp_extract(path, '([^/]*)$', 1) AS base FROM vfiles)"""
 
@@ -761,8 +761,10 @@ def report_regex_parse(spark, d):
     f"""WITH {VFILES} SELECT id, path, (p_size)::BIGINT AS hunk_start, CASE WHEN id % 2 = 0 THEN p_size + 3 ELSE p_size END::BIGINT AS hunk_end FROM vfiles WHERE id % 7 = 0 AND id % 3 <> 0"""
 )
 def diff_parse(spark, d):
-    new = F.when(F.col("id") % 3 == 0, F.lit("/dev/null")).otherwise(F.concat(F.lit("b/"), "path"))
-    head = F.concat(F.lit("diff --git a/x b/x\n--- a/"), "path", F.lit("\n+++ "), new, F.lit("\n@@ -1,0 +"), F.col("p_size").cast("string"), F.when(F.col("id") % 2 == 0, F.lit(",4")).otherwise(F.lit("")), F.lit(" @@ ctx\n+a\n+b"))
+    gone = F.col("id") % 3 == 0
+    new = F.when(gone, F.lit("/dev/null")).otherwise(F.concat(F.lit("b/"), "path"))
+    mode = F.when(gone, F.lit("deleted file mode 100644\n")).otherwise(F.lit("index 1..2\n"))
+    head = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n"), mode, F.lit("--- a/"), "path", F.lit("\n+++ "), new, F.lit("\n@@ -1,0 +"), F.col("p_size").cast("string"), F.when(F.col("id") % 2 == 0, F.lit(",4")).otherwise(F.lit("")), F.lit(" @@ ctx\n+a\n+b"))
     text = V.files(spark, d).filter("id % 7 = 0").select("id", head.alias("text"))
     return R.diff(text, keys=("id",))[0]
 

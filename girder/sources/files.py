@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from girder.functions.text import basename, dirname, npm_package, resolved
 
-# Folders that a walk skips, and what an extension may stand for.
-SKIPPED = ("node_modules", "dist", "build", "coverage", ".git", ".nx", ".turbo")
-EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".svelte")
-ALIASES = {".js": (".ts", ".tsx", ".js"), ".jsx": (".tsx", ".jsx"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cjs")}
+# Folders that a walk skips, source extensions, those that a specifier may leave out, and what one may stand for.
+SKIPPED = ("node_modules", "build", "dist", ".next", ".git", "storybook-static", "coverage")
+EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".svelte")
+RESOLVED = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".json")
+ALIASES = {".js": (".ts", ".tsx", ".js"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cjs")}
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
@@ -75,8 +76,8 @@ def resolved_imports(imports: DataFrame, paths: DataFrame, packages: DataFrame |
     tries = F.concat(
         F.array("base"),
         F.coalesce(F.transform(alias, lambda e: F.concat(stem, e)), F.array().cast("array<string>")),
-        F.transform(F.array(*map(F.lit, EXTENSIONS)), lambda e: F.concat("base", e)),
-        F.transform(F.array(*map(F.lit, EXTENSIONS)), lambda e: F.concat(F.col("base"), F.lit("/index"), e)),
+        F.transform(F.array(*map(F.lit, RESOLVED)), lambda e: F.concat("base", e)),
+        F.transform(F.array(*map(F.lit, RESOLVED)), lambda e: F.concat(F.col("base"), F.lit("/index"), e)),
     )
     ranked = local.select("dir", "specifier", F.posexplode(tries).alias("rank", "candidate"))
     hit = ranked.join(paths.filter("not is_dir").select(F.col("path").alias("candidate")), "candidate").groupBy("dir", "specifier").agg(F.min_by("candidate", "rank").alias("target_path"))

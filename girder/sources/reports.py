@@ -20,7 +20,7 @@ def first_line(text: Column) -> Column:
 
 def tsc(df: DataFrame, text: str = "text") -> DataFrame:
     """`file(line,col): error TSn: message` lines."""
-    pattern = r"^(.+?)\((\d+),(\d+)\): (?:error|warning) (TS\d+): (.*)$"
+    pattern = r"^(.+?)\((\d+),(\d+)\): error (TS\d+): (.*)$"
     g = lambda i: F.regexp_extract("row", pattern, i)
     return _lines(df, text).filter(F.col("row").rlike(pattern)).select(g(1).alias("file"), (g(2).cast("int") - 1).alias("line"), (g(3).cast("int") - 1).alias("col"), g(4).alias("code"), g(5).alias("message"))
 
@@ -67,21 +67,25 @@ def unique(diagnostics: DataFrame) -> DataFrame:
 def diff(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(hunks, files) of `git diff -U0` texts: hunks (path, hunk_start, hunk_end), files (path, state deleted or added).
 
-    A line belongs to the file whose header came last. A hunk of a deleted range counts as the line before it.
+    A line belongs to the file whose header came last. A hunk that only deletes counts as the line it stands at; a deleted
+    file has no hunks, an added one without any covers its first line.
     """
     rows = _lines(df.select(*keys, text), text).drop(text)
     order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    old = F.when(F.col("row").rlike("^--- "), F.regexp_extract("row", r"^--- (?:a/)?(.*?)\t?$", 1))
-    new = F.when(F.col("row").rlike(r"^\+\+\+ "), F.regexp_extract("row", r"^\+\+\+ (?:b/)?(.*?)\t?$", 1))
-    rows = rows.withColumns({"old": F.last(old, ignorenulls=True).over(order), "new": F.last(new, ignorenulls=True).over(order)})
+    header = r"^diff --git a/(.+?) b/(.+)$"
+    path = F.when(F.col("row").rlike(header), F.regexp_extract("row", header, 2))
+    rows = rows.withColumn("path", F.last(path, ignorenulls=True).over(order)).filter("path is not null").filter(~F.col("row").rlike(header))
+    state = F.when(F.col("row").startswith("deleted file mode") | (F.col("row") == "+++ /dev/null"), "deleted").when(F.col("row").startswith("new file mode"), "added")
+    states = rows.withColumn("state", state).filter("state is not null").select(*keys, "path", "state").distinct()
     pattern = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
     start = F.regexp_extract("row", pattern, 1).cast("long")
     count = F.when(F.regexp_extract("row", pattern, 2) == "", 1).otherwise(F.regexp_extract("row", pattern, 2).cast("long"))
-    hunks = rows.filter(F.col("row").rlike(pattern) & (F.col("new") != "/dev/null")).select(*keys, F.col("new").alias("path"), start.alias("hunk_start"), F.greatest(start, start + count - 1).alias("hunk_end"))
-    heads = rows.filter(F.col("row").rlike(r"^\+\+\+ "))
-    gone = heads.filter("new = '/dev/null'").select(*keys, F.col("old").alias("path"), F.lit("deleted").alias("state"))
-    made = heads.filter("old = '/dev/null'").select(*keys, F.col("new").alias("path"), F.lit("added").alias("state"))
-    return hunks, gone.unionByName(made)
+    by = [*keys, "path"]
+    found = rows.filter(F.col("row").rlike(pattern)).join(states.filter("state = 'deleted'").select(*by), by, "left_anti")
+    hunks = found.select(*by, start.alias("hunk_start"), F.greatest(start, start + count - 1).alias("hunk_end"))
+    one = F.lit(1).cast("long")
+    bare = states.filter("state = 'added'").select(*by).join(hunks.select(*by), by, "left_anti").select(*by, one.alias("hunk_start"), one.alias("hunk_end"))
+    return hunks.unionByName(bare), states
 
 
 def with_untracked(hunks: DataFrame, paths: DataFrame) -> DataFrame:

@@ -440,7 +440,7 @@ def test_reports(spark):
         reports.by_regex(one(""), "(?<file>x)")
 
 
-DIFF = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +3,4 @@ f\n+a\n@@ -9 +12,0 @@\ndiff --git a/g b/g\n--- a/g\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\n--- /dev/null\n+++ b/n\n@@ -0,0 +1 @@\n+q"
+DIFF = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +3,4 @@ f\n+a\n@@ -9 +12,0 @@\ndiff --git a/g b/g\ndeleted file mode 1\n--- a/g\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\ndiff --git a/n b/n\nnew file mode 1\n"
 
 
 def test_diffs(spark):
