@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,3 +46,32 @@ def stash(df: DataFrame) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+_holder: list[tuple[str, Callable[[], None] | None]] = []
+
+
+def holding(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Called where an operator's work begins in a Python worker, which Spark reuses for later stages: what another operator
+    left there (vocabularies, tables of results) is dropped first, so stages don't add up in memory."""
+    if _holder and _holder[0][0] != name:
+        _, drop = _holder.pop()
+        if drop:
+            drop()
+            gc.collect()
+    if not _holder:
+        _holder.append((name, clear))
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, after its session was told to hand Python at most BATCH_ROWS rows or BATCH_BYTES bytes at once.
+
+    Texts are long: ten thousand of them, Spark's default, take a few hundred MB of Arrow buffers and Python objects in each
+    task. Smaller settings of the user's stay.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return df

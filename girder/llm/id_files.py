@@ -9,7 +9,7 @@ document follows from the frames' totals, summed over partitions and then within
 The library encodes each distinct run between single spaces once a worker (runs are independent under its pre-tokenizer);
 texts with other white space are encoded whole.
 
-Defined results: a null or empty text is the end id alone; null ids come first, equal ids by text; repeated rows are
+Defined results: a null or empty text is the end id alone; null ids come first, equal ids by a hash of the text; repeated rows are
 documents of their own; an empty table gives an empty result; special tokens written out in a text become their ids, as in
 the library; other columns are not read.
 """
@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.llm import id_coder
-from girder.llm.common import stash, text_or_empty
+from girder.llm.common import bounded_batches, holding, stash, text_or_empty
 
 END = 0
 FRAME_IDS = 4_000_000
+MOST_BROADCAST = 100_000  # frames whose places are broadcast
 MOST_RUNS = 600_000  # encoded runs that a worker keeps
 
 FILE = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<int>, frame binary"
@@ -91,6 +92,7 @@ def write(documents: DataFrame, path: str | None = None) -> DataFrame:
     """The files of the corpus: frames in ascending order (part, seq), written to the shared folder and opened again."""
 
     def frames(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        holding("ids", encoder.cache_clear)
         own, part, seq = encoder(path or vocabulary()), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         docs: list[int | None] = []
@@ -121,8 +123,9 @@ def write(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select("doc_id", text_or_empty().alias("text"))
-    return stash(rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").mapInPandas(frames, FILE))
+    rows = bounded_batches(documents).select("doc_id", text_or_empty().alias("text"))
+    key = F.xxhash64("text")  # keys are sampled on the driver, so they hold no texts
+    return stash(rows.repartitionByRange(n, F.col("doc_id"), key).sortWithinPartitions("doc_id", key, "text").mapInPandas(frames, FILE))
 
 
 def starts(files: DataFrame) -> DataFrame:
@@ -135,6 +138,13 @@ def starts(files: DataFrame) -> DataFrame:
     return light.withColumn("i", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, F.col("part") == F.col("p")).select("part", "seq", (F.col("b") + F.col("i")).alias("before"))
 
 
+def placed(files: DataFrame) -> DataFrame:
+    """The frames with the place of their first id. The table of places is broadcast while it is small, so frames stay put."""
+    table = starts(files)
+    small = files.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return files.join(F.broadcast(table) if small else table, ["part", "seq"]).select("before", "doc_ids", "lengths", "frame")
+
+
 def read(files: DataFrame) -> DataFrame:
     """(doc_id, start, ids) of all documents, from the files alone."""
 
@@ -142,7 +152,7 @@ def read(files: DataFrame) -> DataFrame:
         for doc_ids, begin, ids in _documents(parts):
             yield pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "start": begin, "ids": [x.astype(np.int32) for x in ids]})
 
-    return files.join(starts(files), ["part", "seq"]).select("before", "doc_ids", "lengths", "frame").mapInPandas(texts, "doc_id long, start long, ids array<int>")
+    return placed(files).mapInPandas(texts, "doc_id long, start long, ids array<int>")
 
 
 def _documents(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[list, np.ndarray, list[np.ndarray]]]:
@@ -162,4 +172,4 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
             yield pd.DataFrame({"doc_id": named, "start": begin, "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]})
 
     files = write(documents, path)
-    return files.join(starts(files), ["part", "seq"]).select("before", "doc_ids", "lengths", "frame").mapInPandas(run, DIGEST)
+    return placed(files).mapInPandas(run, DIGEST)
