@@ -402,17 +402,25 @@ def graph_cycles(spark, d):
     return G.cycle_violations(_nodes(spark, d), V.edges(spark, d), "cycles", "cyclic", ["^src/"])
 
 
-@query(
+HEIGHTS = (
     CLOSURE
     + """, m AS (SELECT a.origin AS node, least(a.origin, min(a.node)) AS comp FROM reach a JOIN reach b ON a.origin = b.node AND a.node = b.origin GROUP BY a.origin), c AS (SELECT path AS node, coalesce(comp, path) AS comp FROM vfiles LEFT JOIN m ON path = node),
-dag AS (SELECT DISTINCT x.comp AS a, y.comp AS b FROM vedges JOIN c x ON x.node = src JOIN c y ON y.node = dst WHERE x.comp <> y.comp), walk(comp, h) AS (SELECT DISTINCT comp, 0 FROM c UNION SELECT dag.a, walk.h + 1 FROM walk JOIN dag ON dag.b = walk.comp)
-SELECT node, max(h)::INT AS height FROM c JOIN walk USING (comp) GROUP BY node"""
+dag AS (SELECT DISTINCT x.comp AS a, y.comp AS b FROM vedges JOIN c x ON x.node = src JOIN c y ON y.node = dst WHERE x.comp <> y.comp), walk(comp, h) AS (SELECT DISTINCT comp, 0 FROM c UNION SELECT dag.a, walk.h + 1 FROM walk JOIN dag ON dag.b = walk.comp),
+heights AS (SELECT node, max(h)::INT AS height FROM c JOIN walk USING (comp) GROUP BY node)"""
 )
+
+
+@query(HEIGHTS + " SELECT node, height FROM heights")
 def graph_height(spark, d):
     return G.heights(_nodes(spark, d), V.edges(spark, d))
 
 
-@query()
+@query(
+    HEIGHTS
+    + """, v AS (SELECT 'import' AS kind, 'economy-stays-home' AS rule_name, '{name} is outside' AS message, src AS file, dst AS subject FROM vedges WHERE regexp_matches(src, '^src/economy/') AND NOT regexp_matches(dst, '^src/economy/|^src/standard/')
+UNION ALL SELECT 'import', 'small-allowlist', 'no', src, dst FROM vedges WHERE regexp_matches(src, '^src/small/(brand-[12])/') AND NOT regexp_matches(src, '/hot-') AND NOT regexp_matches(dst, '^src/(small|medium)/|^src/large/brand-1'))
+SELECT coalesce(s.height, f.height, 0) AS height, concat_ws('|', kind, rule_name, file, subject) AS fingerprint, kind, rule_name, message, file, subject FROM v LEFT JOIN heights s ON s.node = subject LEFT JOIN heights f ON f.node = file"""
+)
 def violations_by_height(spark, d):
     return G.by_height(import_allowlist_violations(spark, d), G.heights(_nodes(spark, d), V.edges(spark, d)))
 
@@ -595,7 +603,23 @@ def ledger_reconcile(spark, d):
     return C.reconcile(old, new).select("objective", "sector", "entry", "state")
 
 
-@query()
+MATCH_SQL = """m AS (SELECT 'f' || (user_id % 5) AS f, 'd' || (event_id % 4) AS a, event_type AS objective, user_id AS sector, event_id FROM events), mo AS (SELECT objective, sector, f || '#' || a || '#' || lpad(printf('%x', event_id % 97), 8, '0') AS entry, event_id AS ord FROM m WHERE event_id % 4 <> 1),
+mn AS (SELECT objective, sector, f || '#' || a || '#' || lpad(printf('%x', (event_id + event_id % 2) % 97), 8, '0') AS entry, event_id AS ord FROM m WHERE event_id % 4 <> 2),
+s0 AS (SELECT * FROM mo ANTI JOIN mn USING (objective, sector, entry)), f0 AS (SELECT * FROM mn ANTI JOIN mo USING (objective, sector, entry)),
+sa AS (SELECT *, regexp_extract(entry, '^(.*)#', 1) AS k FROM s0), fa AS (SELECT *, regexp_extract(entry, '^(.*)#', 1) AS k FROM f0),
+sb AS (SELECT *, row_number() OVER (PARTITION BY objective, sector, k ORDER BY ord, entry) AS rn FROM sa), fb AS (SELECT *, row_number() OVER (PARTITION BY objective, sector, k ORDER BY ord, entry) AS rn FROM fa),
+p1 AS (SELECT objective, sector, fb.entry, fb.ord AS n, sb.entry AS was, sb.ord AS o FROM fb JOIN sb USING (objective, sector, k, rn)),
+s1 AS (SELECT * FROM s0 WHERE (objective, sector, entry, ord) NOT IN (SELECT (objective, sector, was, o) FROM p1)), f1 AS (SELECT * FROM f0 WHERE (objective, sector, entry, ord) NOT IN (SELECT (objective, sector, entry, n) FROM p1)),
+sc AS (SELECT *, regexp_extract(entry, '^([^#]*)#', 1) || regexp_extract(entry, '(#[^#]*)$', 1) AS k FROM s1), fc AS (SELECT *, regexp_extract(entry, '^([^#]*)#', 1) || regexp_extract(entry, '(#[^#]*)$', 1) AS k FROM f1),
+sd AS (SELECT *, row_number() OVER (PARTITION BY objective, sector, k ORDER BY ord, entry) AS rn FROM sc), fd AS (SELECT *, row_number() OVER (PARTITION BY objective, sector, k ORDER BY ord, entry) AS rn FROM fc),
+p2 AS (SELECT objective, sector, fd.entry, fd.ord AS n, sd.entry AS was, sd.ord AS o FROM fd JOIN sd USING (objective, sector, k, rn)),
+s2 AS (SELECT * FROM s1 WHERE (objective, sector, entry, ord) NOT IN (SELECT (objective, sector, was, o) FROM p2)), f2 AS (SELECT * FROM f1 WHERE (objective, sector, entry, ord) NOT IN (SELECT (objective, sector, entry, n) FROM p2))"""
+
+
+@query(
+    f"""WITH {MATCH_SQL} SELECT objective, sector, entry, 'ledgered' AS state, NULL AS was FROM mn SEMI JOIN mo USING (objective, sector, entry) UNION ALL SELECT objective, sector, entry, 'drifted', was FROM p1 UNION ALL SELECT objective, sector, entry, 'drifted', was FROM p2
+UNION ALL SELECT objective, sector, entry, 'unrecorded', NULL FROM f2 UNION ALL SELECT objective, sector, entry, 'stale', NULL FROM s2"""
+)
 def ledger_reconcile_match(spark, d):
     e = V.table(spark, d, "events")
     f, a = F.concat(F.lit("f"), (F.col("user_id") % 5).cast("string")), F.concat(F.lit("d"), (F.col("event_id") % 4).cast("string"))
