@@ -30,7 +30,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from girder.llm.common import text_or_empty
+from girder.llm.common import bounded_batches, holding, text_or_empty
 
 MOST_WORDS = 250_000  # entries of each table of results that a worker keeps
 
@@ -96,7 +96,7 @@ class Automaton:
                     struck = row.get(x, 1 << 61)
                     if struck < late and struck <= until:
                         known = False
-        if len(self.arcs) >= 4 * MOST_WORDS:
+        if len(self.arcs) >= 2 * MOST_WORDS:
             self.arcs.clear()
         self.arcs[a << 20 | b] = known
         return known
@@ -189,7 +189,7 @@ def encoded(documents: DataFrame, text: str = "text", path: str | None = None) -
     def ids(x: pd.Series) -> pd.Series:
         return x.map(automaton(path or vocabulary()).encode)
 
-    return documents.withColumn("ids", ids(text_or_empty(text)))
+    return bounded_batches(documents).withColumn("ids", ids(text_or_empty(text)))
 
 
 def decoded(tokens: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -210,6 +210,7 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
     """Ids and decoded text of each document, as digests."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        holding("bpe", automaton.cache_clear)
         own = automaton(path or vocabulary())
         sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
         for part in parts:
@@ -220,4 +221,4 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
             n, ids, labels = zip(*rows) if rows else ((), (), ())
             yield part.assign(n_tokens=pd.array(n, "int64"), ids_sha256=list(ids), decoded_sha256=list(labels))
 
-    return documents.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, DIGEST)
+    return bounded_batches(documents).select("doc_id", text_or_empty().alias("text")).mapInPandas(run, DIGEST)

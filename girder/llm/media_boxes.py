@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import text_or_empty
+from girder.llm.common import bounded_batches, text_or_empty
 
 UNIT = 64  # bytes of one sample; payloads are padded to a multiple of it
 CHUNK = 32  # samples of one chunk
@@ -232,4 +232,4 @@ def round_trip(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", text_or_empty().alias("text")).mapInPandas(round_trip, DIGEST)
+    return bounded_batches(documents).select("doc_id", text_or_empty().alias("text")).mapInPandas(round_trip, DIGEST)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from girder.llm.common import bounded_batches, holding
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 LABELS = ("O", "B-phone", "I-phone", "B-secret", "I-secret", "B-email", "I-email")
@@ -382,7 +384,7 @@ def find(documents: DataFrame, text: str = "text", labelled: DataFrame | None =
     def spans(x: pd.Series) -> pd.Series:
         return pd.Series([[{"kind": k, "start": a, "end": b} for a, k, b in got] for _, got in all_spans(field, x.fillna("").tolist())], dtype=object)
 
-    return documents.withColumn("spans", spans(F.col(text)))
+    return bounded_batches(documents).withColumn("spans", spans(F.col(text)))
 
 
 def mask(documents: DataFrame, text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
@@ -391,10 +393,11 @@ def mask(documents: DataFrame, text: str = "text", labelled: DataFrame | None =
 
     @F.pandas_udf("string")
     def clean(x: pd.Series) -> pd.Series:
+        holding("pii")
         texts = x.fillna("").tolist()
         return pd.Series([masked(t, got) for t, (_, got) in zip(texts, all_spans(field, texts), strict=True)], dtype=object).where(x.notna(), None)
 
-    return documents.withColumn(text, clean(F.col(text)))
+    return bounded_batches(documents).withColumn(text, clean(F.col(text)))
 
 
 DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -404,10 +407,11 @@ def digests(documents: DataFrame, labelled: DataFrame | None = None) -> DataFram
     field = trained(documents.sparkSession, labelled)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        holding("pii")
         for part in parts:
             texts = part.pop("text").fillna("").tolist()
             rows = [(*(sum(s[1] == k for s in base) for k in KINDS[:4]), hashlib.sha256(written(base).encode()).hexdigest(), written(every)) for base, every in all_spans(field, texts)]
             more = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], index=part.index)
             yield pd.concat((part, more), axis=1).astype({f"n_{k}": "int64" for k in KINDS[:4]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, DIGEST)
+    return bounded_batches(documents).select("doc_id", "text").mapInPandas(run, DIGEST)

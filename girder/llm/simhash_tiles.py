@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from girder.llm.common import stash
+from girder.llm.common import bounded_batches, holding, stash
 from girder.llm.components import components
 
 RADIUS = 3
@@ -48,6 +48,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    holding("simhash")
     for part in parts:
         made = np.fromiter(map(fingerprint, part.pop("text")), np.uint64, len(part))
         yield part.assign(fp=made.view(np.int64))
@@ -55,7 +56,7 @@ def _fingerprints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id and the fingerprint as a signed 64-bit number."""
-    return documents.select("doc_id", "text").mapInPandas(_fingerprints, "doc_id long, fp long")
+    return bounded_batches(documents).select("doc_id", "text").mapInPandas(_fingerprints, "doc_id long, fp long")
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,7 +147,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The rows of `documents` with the smallest id of their group (null ids last, equal ids by a hash of the text)."""
-    keyed = documents.withColumn("__k", F.xxhash64("doc_id", "text"))
+    keyed = bounded_batches(documents).withColumn("__k", F.xxhash64("doc_id", "text"))
     marked = stash(keyed.select("doc_id", "__k", "text").mapInPandas(_fingerprints, "doc_id long, __k long, fp long"))
     best = marked.join(placed(marked), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k")).alias("best"))
     kept = keyed.join(best.select(F.col("best.__k").alias("__best")).distinct(), F.col("__k") == F.col("__best"))

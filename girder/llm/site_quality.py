@@ -19,6 +19,7 @@ result; `keep` filters and returns exactly the input's columns.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import stash, table
+from girder.llm.common import bounded_batches, holding, stash, table
 
 MOST_LABELLED = 12_000
 LEXICON = 200  # words kept at most, the most telling first
@@ -51,7 +52,7 @@ def shape(text: str) -> tuple[float, ...]:
     kinds = set(words)
     lines = text.count("\n") + 1
     window = words[:: max(1, n // 200)]  # repeats of one word show in any even share of the text
-    top = max(map(window.count, set(window))) / len(window)
+    top = max(Counter(window).values()) / len(window)
     digits = len(text) - len(text.translate(_NO_DIGITS))
     return (
         sum(map(eq, words, words[1:])) / n,
@@ -126,7 +127,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> M
         for part in parts:
             yield pd.DataFrame({"x": [list(expanded(shape(t))) for t in part["text"]], "junk": (part["__quality"] == 0).astype("int64")})
 
-    got = stash(got)
+    got = stash(bounded_batches(got))
     n, bad = got.filter("__toxic is not null").agg(F.count("*"), F.coalesce(F.sum("__toxic"), F.lit(0))).first()
     lexicon: dict[str, float] = {}
     if 0 < bad < n:
@@ -146,9 +147,10 @@ def evidence(documents: DataFrame, model: Model, text: str = "text") -> DataFram
 
     @F.pandas_udf("toxic double, junk double")
     def run(x: pd.Series) -> pd.DataFrame:
+        holding("quality")
         return pd.DataFrame([model.evidence(t) for t in x], columns=["toxic", "junk"], dtype="float64")
 
-    got = documents.withColumn("__e", run(F.coalesce(F.col(text), F.lit(""))))
+    got = bounded_batches(documents).withColumn("__e", run(F.coalesce(F.col(text), F.lit(""))))
     return got.withColumns({"__toxic": F.col("__e.toxic"), "__junk": F.col("__e.junk")}).drop("__e")
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import stash, text_or_empty
+from girder.llm.common import bounded_batches, stash, text_or_empty
 from girder.llm.fm_index import Index
 
 WINDOW, GRAM = 35, 8
@@ -224,7 +224,7 @@ def _search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def intervals(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): the documents with their key k, and (k, first, n, whole, a, b) of the repeated windows."""
-    rows = documents.withColumn("text", text_or_empty()).withColumn("k", F.xxhash64("doc_id", "text"))
+    rows = bounded_batches(documents).withColumn("text", text_or_empty()).withColumn("k", F.xxhash64("doc_id", "text"))
     cut = stash(rows.select("k", "text").mapInPandas(_pieces, PIECE))
     totals = cut.groupBy("key").agg(F.sum("times").alias("total")).filter("total > 1")
     shared = stash(cut.join(totals, "key"))

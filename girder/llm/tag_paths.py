@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from girder.llm.common import bounded_batches
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
@@ -233,7 +235,7 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
     def run(x: pd.Series) -> pd.Series:
         return x.map(main_text, na_action=None)
 
-    return pages.withColumn(out, run(F.coalesce(F.col(html), F.lit(""))))
+    return bounded_batches(pages).withColumn(out, run(F.coalesce(F.col(html), F.lit(""))))
 
 
 def digests(pages: DataFrame) -> DataFrame:
@@ -242,4 +244,4 @@ def digests(pages: DataFrame) -> DataFrame:
             text = [main_text(x) for x in part.pop("html")]
             yield part.assign(text=text, n_chars=[len(t) for t in text])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return bounded_batches(pages).select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
