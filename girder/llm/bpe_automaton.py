@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from girder.llm.common import bounded_batches, holding, text_or_empty
 
-MOST_WORDS = 250_000  # entries of each table of results that a worker keeps
+MOST_WORDS = 200_000  # entries of each table of results that a worker keeps
 
 #: str.split() also cuts at the four separators U+001C to U+001F, which are not white space.
 ODD = regex.compile(r"\p{White_Space}+")

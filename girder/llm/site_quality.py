@@ -119,11 +119,13 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> M
     got = sample(documents, labels, most)
 
     def seen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        holding("quality")
         for part in parts:
             rows = [(w, t) for text, t in zip(part["text"], part["__toxic"], strict=True) for w in words_of(text)]
             yield pd.DataFrame(rows, columns=["word", "toxic"]).astype({"toxic": "int64"}).groupby("word", as_index=False).agg(toxic=("toxic", "sum"), n=("toxic", "size"))
 
     def shapes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        holding("quality")
         for part in parts:
             yield pd.DataFrame({"x": [list(expanded(shape(t))) for t in part["text"]], "junk": (part["__quality"] == 0).astype("int64")})
 
