@@ -1,7 +1,7 @@
 """Operator 6: quality classifier with hierarchical empirical Bayes.
 
-Two classifiers give each document log-odds of being toxic and of being junk: a naive Bayes over words that toxic documents
-share, and a logistic regression over how the text is built (repeats, bars, capitals, marks, line lengths). Hosts and the
+Two classifiers give each document log-odds of being toxic and of being junk: a naive Bayes, for each language, over words that
+its toxic documents share, present and absent, and a logistic regression over how the text is built (repeats, bars, capitals, marks, line lengths). Hosts and the
 paths below them then get posterior rates by grouped sums over all documents: a host's rate is shrunk toward the global one,
 a path's toward its host's, each by a strength estimated from the spread between groups (method of moments), so a site with
 few documents has little to say. A document's final odds are its own evidence on the prior odds of its path.
@@ -12,7 +12,8 @@ Fitting reads at most MOST_LABELLED labelled rows, by a hash of the id, exact co
 cover all documents.
 
 Defined results: a null or empty text is junk by definition (`p_junk` 1); null hosts or paths are groups of their own; if no
-labels of a kind exist its probability is the global rate of 0; repeated rows are scored alike; an empty table gives an empty
+labels of a kind exist its probability is the global rate of 0; a language whose labels tell no words (few of them, or none) is
+judged by the words of all languages together, null is a language of its own; repeated rows are scored alike; an empty table gives an empty
 result; `keep` filters and returns exactly the input's columns.
 """
 
@@ -25,14 +26,15 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from girder.llm.common import bounded_batches, holding, stash, table
 
 MOST_LABELLED = 12_000
-LEXICON = 200  # words kept at most, the most telling first
-LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT, LEAST_Z = 3, 0.15, 2.0, 2.5
+LEXICON = 50  # words kept at most for each language, the most telling first
+LEAST_DOCS, LEAST_WEIGHT, LEAST_Z = 3, 2.0, 3.5
+ALL = "\0"  # stands for all languages together
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[^\w\s]{2,}(?=\s|\Z)")
@@ -84,14 +86,16 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25
 
 
 class Model:
-    def __init__(self, lexicon: dict[str, float], toxic_prior: float, junk: tuple | None) -> None:
-        self.lexicon, self.toxic_prior, self.junk = lexicon, toxic_prior, junk
-        self.known = frozenset(lexicon)
+    """`lexicons`: for each language the odds of a text with none of its words, and what each word adds to them."""
 
-    def evidence(self, text: str) -> tuple[float, float]:
+    def __init__(self, lexicons: dict[str | None, tuple[float, dict[str, float]]], junk: tuple | None) -> None:
+        self.lexicons, self.junk = lexicons, junk
+
+    def evidence(self, text: str, lang: str | None = None) -> tuple[float, float]:
         """Log-odds that the text is toxic, and junk."""
-        hits = words_of(text) & self.known
-        toxic = self.toxic_prior + sum(map(self.lexicon.__getitem__, sorted(hits)))
+        toxic, words = self.lexicons.get(lang) or self.lexicons[ALL]
+        if words:
+            toxic += sum(map(words.__getitem__, sorted(words_of(text) & words.keys())))
         if not text.strip():
             return toxic, 30.0
         if self.junk is None:
@@ -106,23 +110,53 @@ def expanded(s: tuple[float, ...]) -> tuple[float, ...]:
     return (*s, *(float(v > 0.1) for v in s[:4]), float(s[5] > 0.25), float(s[4] < 0.5))
 
 
-def sample(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def tongue(documents: DataFrame, language: str) -> Column:
+    return (F.col(language).cast("string") if language in documents.columns else F.lit(None).cast("string")).alias("__lang")
+
+
+def sample(documents: DataFrame, labels: DataFrame, most: int, language: str = "lang") -> DataFrame:
     """At most `most` labelled rows in hash order, exact copies once."""
     rated = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality"), F.col("toxic").alias("__toxic"))
     rated = rated.filter("__id is not null and (__quality is not null or __toxic is not null)")
     chosen = rated.orderBy(F.xxhash64("__id"), "__id", "__quality", "__toxic").limit(most)
-    got = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    return got.dropDuplicates(["text"]).select("text", "__quality", "__toxic")
+    got = documents.select("doc_id", "text", tongue(documents, language)).filter("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    return got.dropDuplicates(["text"]).select("text", "__lang", "__quality", "__toxic")
 
 
-def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    got = sample(documents, labels, most)
+def lexicons(rated: DataFrame) -> dict[str | None, tuple[float, dict[str, float]]]:
+    """Bernoulli naive Bayes over the telling words of each language, and of ALL; a language that tells none is left out."""
 
     def seen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         holding("quality")
         for part in parts:
-            rows = [(w, t) for text, t in zip(part["text"], part["__toxic"], strict=True) for w in words_of(text)]
-            yield pd.DataFrame(rows, columns=["word", "toxic"]).astype({"toxic": "int64"}).groupby("word", as_index=False).agg(toxic=("toxic", "sum"), n=("toxic", "size"))
+            rows = [(g, w, t) for text, lang, t in zip(part["text"], part["__lang"], part["__toxic"], strict=True) for w in words_of(text) for g in (lang, ALL)]
+            got = pd.DataFrame(rows, columns=["lang", "word", "toxic"]).astype({"lang": "object", "toxic": "int64"})
+            yield got.groupby(["lang", "word"], as_index=False, dropna=False).agg(toxic=("toxic", "sum"), n=("toxic", "size")).astype({"lang": "object"}).replace({"lang": {np.nan: None}})
+
+    sizes = {r["__lang"]: (r["n"], r["bad"]) for r in rated.groupBy("__lang").agg(F.count("*").alias("n"), F.sum("__toxic").cast("long").alias("bad")).collect()}
+    sizes[ALL] = tuple(map(sum, zip((0, 0), *sizes.values())))
+    out = {ALL: (float(np.log((sizes[ALL][1] + 0.5) / (sizes[ALL][0] - sizes[ALL][1] + 0.5))) if sizes[ALL][0] else -30.0, {})}
+    both = [(k, n, bad) for k, (n, bad) in sizes.items() if 0 < bad < n]
+    if not both:
+        return out
+    counts = rated.select("text", "__lang", "__toxic").mapInPandas(seen, "lang string, word string, toxic long, n long").groupBy("lang", "word").agg(F.sum("toxic").alias("a"), (F.sum("n") - F.sum("toxic")).alias("b"))
+    sized = counts.sparkSession.createDataFrame(both, "__lang string, docs long, bad long")
+    counts = counts.filter(F.col("a") >= LEAST_DOCS).join(F.broadcast(sized), F.col("lang").eqNullSafe(F.col("__lang")))
+    p, q = (F.col("a") + 0.5) / (F.col("bad") + 1.0), (F.col("b") + 0.5) / (F.col("docs") - F.col("bad") + 1.0)
+    share = (F.col("a") + F.col("b")) / F.col("docs")  # z is the root of the likelihood ratio: sound for counts of zero, too
+    cells = ((F.col("a"), F.col("bad"), share), (F.col("b"), F.col("docs") - F.col("bad"), share), (F.col("bad") - F.col("a"), F.col("bad"), 1 - share), (F.col("docs") - F.col("bad") - F.col("b"), F.col("docs") - F.col("bad"), 1 - share))
+    ratio = sum((F.when(k > 0, k * F.log(k / (n * part))).otherwise(0.0) for k, n, part in cells), F.lit(0.0))
+    counts = counts.withColumns({"weight": F.log(p / q), "absent": F.log((1 - p) / (1 - q)), "z": F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))})
+    ranked = counts.filter((F.col("weight") > LEAST_WEIGHT) & (F.col("z") > LEAST_Z)).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("z"), "word")))
+    for r in ranked.filter(F.col("at") <= LEXICON).orderBy("lang", "at").select("lang", "docs", "bad", "word", "weight", "absent").collect():
+        base, words = out.get(r["lang"]) or (float(np.log((r["bad"] + 0.5) / (r["docs"] - r["bad"] + 0.5))), {})
+        words[r["word"]] = r["weight"] - r["absent"]
+        out[r["lang"]] = base + r["absent"], words
+    return out
+
+
+def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, language: str = "lang") -> Model:
+    got = sample(documents, labels, most, language)
 
     def shapes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         holding("quality")
@@ -130,29 +164,21 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> M
             yield pd.DataFrame({"x": [list(expanded(shape(t))) for t in part["text"]], "junk": (part["__quality"] == 0).astype("int64")})
 
     got = stash(bounded_batches(got))
-    n, bad = got.filter("__toxic is not null").agg(F.count("*"), F.coalesce(F.sum("__toxic"), F.lit(0))).first()
-    lexicon: dict[str, float] = {}
-    if 0 < bad < n:
-        counts = got.filter("__toxic is not null").select("text", "__toxic").mapInPandas(seen, "word string, toxic long, n long").groupBy("word").agg(F.sum("toxic").alias("a"), (F.sum("n") - F.sum("toxic")).alias("b"))
-        a, b = F.col("a") + 0.5, F.col("b") + 0.5
-        weight = F.log(a / (bad + 1.0)) - F.log(b / (n - bad + 1.0))
-        telling = counts.filter((F.col("a") >= LEAST_DOCS) & (F.col("a") >= LEAST_SHARE * bad)).withColumn("weight", weight).withColumn("z", F.col("weight") / F.sqrt(1 / a + 1 / b))
-        telling = telling.filter((F.col("weight") > LEAST_WEIGHT) & (F.col("z") > LEAST_Z)).orderBy(F.desc("z"), "word").limit(LEXICON)
-        lexicon = {r["word"]: float(r["weight"]) for r in telling.collect()}
+    known = lexicons(got.filter("__toxic is not null"))
     rows = got.filter("__quality is not null").select("text", "__quality").mapInPandas(shapes, "x array<double>, junk long").toPandas()
     junk = logistic(np.array(rows["x"].tolist()), rows["junk"].to_numpy(float)) if rows["junk"].nunique() == 2 else None
-    return Model(lexicon, float(np.log((bad + 0.5) / (n - bad + 0.5))) if n else -30.0, junk)
+    return Model(known, junk)
 
 
-def evidence(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def evidence(documents: DataFrame, model: Model, text: str = "text", language: str = "lang") -> DataFrame:
     """`documents` with the log-odds columns __toxic and __junk."""
 
     @F.pandas_udf("toxic double, junk double")
-    def run(x: pd.Series) -> pd.DataFrame:
+    def run(x: pd.Series, lang: pd.Series) -> pd.DataFrame:
         holding("quality")
-        return pd.DataFrame([model.evidence(t) for t in x], columns=["toxic", "junk"], dtype="float64")
+        return pd.DataFrame([model.evidence(t, g) for t, g in zip(x, lang, strict=True)], columns=["toxic", "junk"], dtype="float64")
 
-    got = bounded_batches(documents).withColumn("__e", run(F.coalesce(F.col(text), F.lit(""))))
+    got = bounded_batches(documents).withColumn("__e", run(F.coalesce(F.col(text), F.lit("")), tongue(documents, language)))
     return got.withColumns({"__toxic": F.col("__e.toxic"), "__junk": F.col("__e.junk")}).drop("__e")
 
 
@@ -199,7 +225,7 @@ def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path
     names = [c for c in documents.columns if c not in ("p_toxic", "p_junk", "keep")]
     model = fit(documents, labels, most)
     scored = evidence(documents, model)
-    light = stash(evidence(documents.select(F.col("text"), F.col(host), F.col(path)), model).drop("text"))
+    light = stash(evidence(documents.select(*dict.fromkeys(c for c in ("text", "lang", host, path) if c != "lang" or c in documents.columns)), model).drop("text"))
     table_ = priors(light, host, path)
     small = table_.count() <= 50_000
     joined = scored.join(F.broadcast(table_) if small else table_, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")))

@@ -235,6 +235,24 @@ def test_quality_on_the_tables(spark):
     assert right / n > 0.97 and kept / clean > 0.97
 
 
+def test_toxic_words_of_each_language(spark):
+    """Half the labels fit, the other half count: every language's toxic documents are found, and clean ones are left alone."""
+    d = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{d}/{x}.parquet") for x in ("documents", "labels"))
+    model = site_quality.fit(documents, labels.filter("doc_id % 2 = 0"))
+    got = site_quality.evidence(documents.join(labels.filter("doc_id % 2 = 1"), "doc_id"), model).groupBy("lang", "toxic").agg(F.avg((F.col("__toxic") > 0).cast("int")).alias("found"))
+    found = {(r["lang"], r["toxic"]): r["found"] for r in got.collect()}
+    assert min(found[k, 1] for k in ("de", "en", "fr")) > 0.7 and found["es", 1] > 0.2  # es: fifteen toxic labels to fit on
+    assert max(v for (_, toxic), v in found.items() if not toxic) < 0.03
+
+
+def test_toxic_words_without_a_language(spark):
+    rows = [(i, f"w{i} plain text {'zonk' if i % 4 == 0 else ''}", int(i % 4 == 0)) for i in range(80)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = site_quality.fit(made, made.selectExpr("doc_id", "1 as quality", "toxic"))
+    assert {bool(model.evidence(t, lang)[0] > 0) == bool(y) for _, t, y in rows for lang in (None, "xx")} == {True}
+
+
 def test_quality_edges(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = site_quality.classify(docs, none)
