@@ -51,10 +51,9 @@ def shape(text: str) -> tuple[float, ...]:
     n = len(words)
     if not n:
         return (0.0,) * len(SHAPE)
-    kinds = set(words)
+    kinds = Counter(words)
     lines = text.count("\n") + 1
-    window = words[:: max(1, n // 200)]  # repeats of one word show in any even share of the text
-    top = max(Counter(window).values()) / len(window)
+    top = max(kinds.values()) / n
     digits = len(text) - len(text.translate(_NO_DIGITS))
     return (
         sum(map(eq, words, words[1:])) / n,

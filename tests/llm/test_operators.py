@@ -253,6 +253,12 @@ def test_toxic_words_without_a_language(spark):
     assert {bool(model.evidence(t, lang)[0] > 0) == bool(y) for _, t, y in rows for lang in (None, "xx")} == {True}
 
 
+def test_top_word_counts_the_whole_text():
+    words = [w for i in range(1000) for w in ("same", f"w{i}", f"x{i}", f"y{i}", f"z{i}")]  # 5,000 words, in step with a stride of 25
+    for some in (words, words[1:] + words[:1], words[:400]):
+        assert site_quality.shape(" ".join(some))[5] == some.count("same") / len(some) == 0.2
+
+
 def test_quality_edges(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = site_quality.classify(docs, none)
