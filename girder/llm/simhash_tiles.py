@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from girder.llm import shingle_groups
 from girder.llm.common import bounded_batches, holding, stash
 from girder.llm.components import components
 
@@ -146,10 +147,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of `documents` with the smallest id of their group (null ids last, equal ids by a hash of the text)."""
+    """The rows of `documents` with the smallest id of their group (null ids last, equal ids by a hash of the text).
+
+    Groups are those of `shingle_groups`: five words, similarity 0.8; the fingerprints above are for the query alone.
+    """
     keyed = bounded_batches(documents).withColumn("__k", F.xxhash64("doc_id", "text"))
-    marked = stash(keyed.select("doc_id", "__k", "text").mapInPandas(_fingerprints, "doc_id long, __k long, fp long"))
-    best = marked.join(placed(marked), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k")).alias("best"))
+    marked = shingle_groups.marked(keyed)
+    best = marked.drop("bands").join(stash(shingle_groups.placed(keyed, marked)), "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k")).alias("best"))
     kept = keyed.join(best.select(F.col("best.__k").alias("__best")).distinct(), F.col("__k") == F.col("__best"))
     others = [c for c in documents.columns if c != "text"]
     first = Window.partitionBy("__k").orderBy(*others)

@@ -1,6 +1,7 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
 import corpus_pipeline
+from girder.llm import simhash_tiles
 from girder.llm.common import stash
 
 
@@ -29,3 +30,34 @@ def test_stages_on_empty_and_odd_tables(spark, sf, docs, no_docs):
             rows = stash(stage(spark, rows, sf))
             assert k == 4 or rows.columns == start.columns
         assert start is docs or rows.count() == 0
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Recall over all pairs of texts whose five-word shingles have a similarity of 0.8 or more, and what may go at all."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rows += [(10**6 + i, " ".join(f"w{i}" if i and j == 30 * i % 97 else f"v{j}" for j in range(97))) for i in range(40)]
+    rows += [(2 * 10**6 + i, t) for i, t in enumerate((None, "", " ", "two words", "Two  words", "two word"))]
+    docs = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
+    words = {i: (t or "").lower().split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders, pairs = {}, 0
+    for i, s in sets.items():
+        shared = {}
+        for x in s or {None}:
+            for j in holders.setdefault(x, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[x].append(i)
+        for j, n in shared.items():
+            if not s or n / (len(s) + len(sets[j]) - n) >= 0.8:
+                pairs += words[i] != words[j]
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert pairs > 40
+    kept = {r["doc_id"] for r in simhash_tiles.one_of_each(docs).collect()}
+    assert kept == {i for i in root if find(i) == i}
