@@ -1,6 +1,6 @@
 """Operator 3: SpotSigs document fingerprints, with DataFrame functions only.
 
-A spot is a common word (the anchor) with the first two content words among the eight words after it. A document's
+A spot is a common word (the anchor) with the next two content words after it, however far they lie. A document's
 fingerprint is the set of its spots' hashes. Fingerprints are compared by Jaccard likeness: `near_duplicates` partitions them
 by set length (sets whose lengths differ by more than the threshold allows cannot be alike and never meet), looks for
 candidates among the rarest spots of each set, prunes by the length bound and verifies the rest exactly.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from girder.llm.common import stash, text_or_empty
 
-CHAIN, AHEAD = 2, 8  # content words of a spot, and the words after the anchor among which they are
+CHAIN = 2  # content words of a spot
 BLOCK = 2048  # ids of one block of the order
 SIMILAR = 0.8
 
@@ -40,12 +40,17 @@ def signatures(text: Column) -> Column:
     common = sorted(set(ANCHORS))
     w = words(text)
 
-    def spot(arr: Column, word: Column, i: Column) -> Column:
-        chain = F.slice(F.filter(F.slice(arr, i + 2, AHEAD), lambda x: ~x.isin(common)), 1, CHAIN)
-        return F.when(word.isin(common), F.when(F.size(chain) == CHAIN, F.xxhash64(word, chain).bitwiseAND(0xFFFFFFFF)))
+    def parts(arr: Column) -> Column:
+        anchors = F.filter(F.transform(arr, lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda a: a["word"].isin(common))
+        return F.struct(F.filter(arr, lambda x: ~x.isin(common)).alias("content"), anchors.alias("anchors"))
 
-    # the words are bound to a lambda's variable, so that they are computed once a row
-    found = F.transform(F.array(w), lambda arr: F.array_compact(F.transform(arr, lambda x, i: spot(arr, x, i))))
+    def spot(content: Column, a: Column, k: Column) -> Column:
+        chain = F.slice(content, a["at"] - k + 1, CHAIN)  # before the k-th anchor lie k anchors, and content otherwise
+        return F.when(F.size(chain) == CHAIN, F.xxhash64(a["word"], chain).bitwiseAND(0xFFFFFFFF))
+
+    # words and parts are bound to a lambda's variable, so that they are computed once a row
+    split = F.transform(F.array(w), parts)
+    found = F.transform(split, lambda s: F.array_compact(F.transform(s["anchors"], lambda a, k: spot(s["content"], a, k))))
     return F.transform(found, lambda s: F.when(F.size(s) > 0, F.array_sort(F.array_distinct(s))).otherwise(F.array(F.xxhash64(F.array_join(w, " ")).bitwiseAND(0xFFFFFFFF))))[0]
 
 

@@ -157,6 +157,19 @@ def test_spots(docs, no_docs, rows):
     assert len(spot_sigs.digests(docs.filter("doc_id = 3")).collect()) == 1
 
 
+def test_spots_reach_as_far_as_content_words_lie(spark):
+    texts = ["the " + "of and " * far + "cat of dog" for far in (0, 3, 4, 50)] + ["the cat", "cat dog the", "The of x1 y a z of"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", spot_sigs.signatures(F.col("text")).alias("sig"), spot_sigs.words(F.col("text")).alias("w")).collect()
+    want = {}
+    for r in got:
+        w = r["w"]
+        chains = [(x, [y for y in w[k + 1 :] if y not in spot_sigs.ANCHORS][:2]) for k, x in enumerate(w) if x in spot_sigs.ANCHORS]
+        want[r["i"]] = len({(x, *c) for x, c in chains if len(c) == 2}) or 1
+    assert {r["i"]: len(r["sig"]) for r in got} == want
+    spots = {r["i"]: set(r["sig"]) for r in got}
+    assert spots[0] < spots[1] == spots[2] == spots[3] and len(spots[3]) == 3
+
+
 def test_spot_likeness_join(spark):
     rnd = random.Random(5)
     base = ["the " + " ".join(f"w{rnd.randint(0, 30)}" for _ in range(3)) for _ in range(40)]
