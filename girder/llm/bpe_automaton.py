@@ -3,18 +3,20 @@
 The automaton reads tokens; a path from its start spells one correct tokenization. It begins as one state with a loop for each
 base symbol. Each merge u v -> w, in order, adds one gadget: every arc labelled u is redirected to a copy of its target that
 lacks the arc v, and wherever u could be read an arc w is added that ends where v ended. All arcs with one label share their
-target at any time, so the gadgets are kept as tables of one entry a merge: `merge[u, v]` is the moment at which v was struck
-from the state behind u. The state behind a token is a copy, made when the token was born, of the state behind its right
-part; an arc exists if its left part's arc did when it was born. So the arc b leaves the state behind a unless a merge (r, l)
-struck it, where r lies on the right edge of a, l on the left edge of b, and the merge came before the births above r and no
-later than those above l. `arcs` holds the transitions looked up so far.
-
-Encoding runs the automaton over a pre-split word: at each place exactly one token leads from a reached state. Decoding emits
-the labels of the arcs. Words are independent, so results of frequent ones are kept in bounded tables of each worker.
-
-Defined results: a null or empty text gives no ids and an empty text; very long words are encoded in time proportional to
-their length; repeats give equal rows; other columns are not read. Special tokens written out in a text become their ids, as
-in the library.
+target at any time, so a state is known by the label that leads to it, and a gadget is three steps on one bit table of states
+by labels: the row of w becomes a copy of the row of v, the bit (u, v) is struck, and the column of w becomes a copy of the
+column of u. When all merges are in, equal rows and equal columns are folded, which leaves the transition table. Labels that
+end a word lead to the accepting state and have no row.
+
+Encoding drives two tables over the symbols of pre-split words, many words a step: the table of a string automaton over all
+labels tells the longest label that ends at a place, the transition table whether its arc leaves the state before it; if not,
+the next shorter label is tried. Exactly one label leads from a reached state to each place, so no choice is ever undone.
+Decoding emits the labels of the arcs. Ids of frequent words are kept in a bounded table of each worker.
+
+Defined results: a null or empty text gives no ids and an empty text, null ids decode to an empty text; very long words are
+encoded in time proportional to their length; repeats give equal rows; other columns are kept by `encoded` and `decoded`, and
+if the name of the new column is taken, underscores are added to it. Special tokens written out in a text become their ids,
+as in the library.
 """
 
 from __future__ import annotations
@@ -25,14 +27,18 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from girder.llm.common import bounded_batches, holding, text_or_empty
+from girder.llm.common import bounded_batches, free_name, holding, text_or_empty
 
-MOST_WORDS = 200_000  # entries of each table of results that a worker keeps
+MOST_WORDS = 400_000  # words whose ids a worker keeps
+CELLS = 1 << 21  # symbols of one step's grid of words
+GROUP_CHARS = 1 << 20  # characters of the texts that are encoded together
 
 #: str.split() also cuts at the four separators U+001C to U+001F, which are not white space.
 ODD = regex.compile(r"\p{White_Space}+")
@@ -48,6 +54,64 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in kept else chr(next(other)) for b in range(256)]
 
 
+def transitions(inner: list[int], merges: list[tuple[int, int, int]], n_labels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table, row of each label, column of each label): whether a label's arc leaves the state behind another label.
+
+    `inner` are the labels that end no word, `merges` (u, v, w) in order. The table is packed, eight states a byte, for each
+    kind of column. Row 0 is the start. Rows are numbered so that the states that will be copied from a label's state lie
+    behind it, by the time of the copy: then a gadget's strike and what later copies inherit of it are one range of rows.
+    """
+    copies: dict[int, list[tuple[int, int]]] = {}
+    inside = np.zeros(n_labels, bool)
+    inside[inner] = True
+    made = set()
+    for born, (_, v, w) in enumerate(merges):
+        made.add(w)
+        if inside[w]:
+            copies.setdefault(v, []).append((born, w))
+    row, end = np.zeros(n_labels, np.int64), np.zeros(n_labels, np.int64)
+    n = 1
+    for base in (x for x in inner if x not in made):
+        stack = [(base, False)]
+        while stack:
+            x, done = stack.pop()
+            if done:
+                end[x] = n
+                continue
+            row[x] = n
+            n += 1
+            stack.append((x, True))
+            stack += [(w, False) for _, w in reversed(copies.get(x, ()))]
+    width = -(-n // 8)
+    bits = np.full((n_labels, width), 255, np.uint8)
+    late = dict.fromkeys(copies, 0)  # copies of a label's state made so far
+    for born, (u, v, w) in enumerate(merges):
+        column, own = bits[v], copies.get(u, ())
+        k = late.get(u, 0)
+        while k < len(own) and own[k][0] <= born:
+            k += 1
+        late[u] = k
+        first = int(row[u])
+        if not column[first >> 3] >> (first & 7) & 1:  # v never follows u, so nothing makes w
+            bits[w] = 0
+            continue
+        column[first >> 3] &= 255 - (1 << (first & 7))
+        if k < len(own):
+            a, b = int(row[own[k][1]]), int(end[u])
+            i, j = a >> 3, b >> 3
+            if i == j:
+                column[i] &= 255 - ((1 << (b & 7)) - (1 << (a & 7)))
+            else:
+                column[i] &= (1 << (a & 7)) - 1
+                column[i + 1 : j] = 0
+                if b & 7:
+                    column[j] &= 256 - (1 << (b & 7))
+        bits[w] = bits[u]
+    kinds: dict[bytes, int] = {}
+    column = np.fromiter((kinds.setdefault(x.tobytes(), len(kinds)) for x in bits), np.int32, n_labels)
+    return np.frombuffer(b"".join(kinds), np.uint8).reshape(len(kinds), width), row.astype(np.int32), column
+
+
 class Automaton:
     """Encoder and decoder for a BPE vocabulary whose last symbol of a word carries a suffix."""
 
@@ -55,115 +119,161 @@ class Automaton:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
-        self.labels = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        labels = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.labels = [labels.get(i, "") for i in range(max(labels) + 1)]
+        self.numbers = [str(i) for i in range(len(self.labels))]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.inner = {t: i for t, i in vocab.items() if not end or not t.endswith(end)}
-        self.final = {t[: len(t) - len(end)]: i for t, i in vocab.items() if t.endswith(end)}
-        self.longest = max(map(len, (*self.inner, *self.final)))
-        self.bytes = byte_alphabet()
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pieces = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
-        self.merge: dict[int, dict[int, int]] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
-        for born, (u, v) in enumerate(model["merges"]):
-            u, v, w = vocab[u], vocab[v], vocab[u + v]
-            self.merge.setdefault(u, {})[v] = born
-            self.parts[w] = (u, v, born)
-        self.edges: tuple[dict, dict] = ({}, {})
-        self.arcs: dict[int, bool] = {}
-        self.by_piece: dict[str, tuple[int, ...]] = {}
-        self.by_word: dict[str, tuple[int, str, str]] = {}
-
-    def edge(self, token: int, side: int) -> tuple[tuple[int, int], ...]:
-        """The tokens on one edge of a token's merge tree, each with the birth of the token above it."""
-        known = self.edges[side].get(token)
-        if known is None:
-            out, above = [(token, 1 << 60)], self.parts.get(token)
-            while above:
-                out.append((above[side], above[2]))
-                above = self.parts.get(above[side])
-            known = self.edges[side][token] = tuple(out)
-        return known
-
-    def follows(self, a: int, b: int) -> bool:
-        """Whether the arc b leaves the state behind a."""
-        left, known = self.edge(b, 0), True
-        for r, late in self.edge(a, 1):
-            if row := self.merge.get(r):
-                for x, until in left:
-                    struck = row.get(x, 1 << 61)
-                    if struck < late and struck <= until:
-                        known = False
-        if len(self.arcs) >= 2 * MOST_WORDS:
-            self.arcs.clear()
-        self.arcs[a << 20 | b] = known
-        return known
-
-    def run(self, piece: str) -> tuple[int, ...]:
-        """Ids of one pre-split piece."""
-        word = "".join(map(self.bytes.__getitem__, piece.encode("utf-8", "surrogatepass")))
-        n, longest, arcs, follows = len(word), self.longest, self.arcs, self.follows
-        last, begins = [-1], [0]
-        for i in range(1, n + 1):
-            labels = self.final if i == n else self.inner
-            token, start = -1, 0
-            for j in range(max(0, i - longest), i):
-                if (t := labels.get(word[j:i])) is not None:
-                    if j:
-                        if (a := last[j]) < 0:
-                            continue
-                        if (open_ := arcs.get(a << 20 | t)) is None:
-                            open_ = follows(a, t)
-                        if not open_:
-                            continue
-                    token, start = t, j
-                    break
-            last.append(token)
-            begins.append(start)
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i = begins[i]
-        return tuple(reversed(out))
-
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Count, ids and labels of a run without white space."""
-        ids: list[int] = []
-        for piece in self.pieces(word):
-            if (got := self.by_piece.get(piece)) is None:
-                got = self.run(piece)
-                if len(piece) <= 40:
-                    if len(self.by_piece) >= MOST_WORDS:
-                        self.by_piece.clear()
-                    self.by_piece[piece] = got
-            ids += got
-        got = (len(ids), " ".join(map(str, ids)), " ".join(map(self.labels.__getitem__, ids)))
-        if len(word) <= 40:
-            if len(self.by_word) >= MOST_WORDS:
-                self.by_word.clear()
-            self.by_word[word] = got
-        return got
+        byte = {c: b for b, c in enumerate(byte_alphabet())}
+        spelled = lambda t: bytes(map(byte.__getitem__, t))
+        inner = {spelled(t): i for t, i in vocab.items() if not t.endswith(end)}
+        final = {spelled(t[: -len(end)]): i for t, i in vocab.items() if t.endswith(end)}
+        merges = [(vocab[u], vocab[v], vocab[u + v]) for u, v in model["merges"]]
+        self.table, self.row, self.column = transitions(list(inner.values()), merges, len(self.labels))
+        self._match(inner, final)
+        self.kind = np.dtype("<u2" if len(self.labels) < 1 << 16 else "<u4")  # of ids that are kept
+        self.by_word: dict[str, bytes] = {}
+
+    def _match(self, inner: dict[bytes, int], final: dict[bytes, int]) -> None:
+        """The string automaton: `step` over symbols; `ends` is the longest label inside a word that ends at a state's
+        place, `closes` the longest one that ends the word there with a symbol; `shorter` leads from label to label."""
+        children: list[dict[int, int]] = [{}]
+        where = {b"": 0}
+        for label in [*inner, *(t[:-1] for t in final)]:
+            at = 0
+            for k, b in enumerate(label):
+                if (to := children[at].get(b)) is None:
+                    to = children[at][b] = where[label[: k + 1]] = len(children)
+                    children.append({})
+                at = to
+        n = len(children)
+        small = lambda most: np.uint16 if most < 1 << 16 else np.int32
+        self.step = np.zeros((n, 256), small(n))
+        self.ends, self.closes = np.zeros(n, np.int32), np.zeros((n, 256), small(len(self.labels)))
+        self.size, self.shorter = np.zeros(len(self.labels), np.int32), np.zeros(len(self.labels), np.int32)
+        for labels in (inner, final):
+            for t, i in labels.items():
+                self.size[i] = len(t)
+                self.shorter[i] = next((labels[t[k:]] for k in range(1, len(t)) if t[k:] in labels), -1)
+        back = [0] * n
+        own = {where[t]: i for t, i in inner.items()}
+        ended: dict[int, list[tuple[int, int]]] = {}
+        for t, i in final.items():
+            ended.setdefault(where[t[:-1]], []).append((t[-1], i))
+        queue = [0]
+        for s in queue:  # breadth first: a state's fallback is shorter, so it is complete
+            fall = back[s]
+            if s:
+                self.step[s], self.closes[s], self.ends[s] = self.step[fall], self.closes[fall], self.ends[fall]
+                if s in own:
+                    self.ends[s] = own[s]
+            for b, i in ended.get(s, ()):
+                self.closes[s, b] = i
+            for b, to in children[s].items():
+                back[to] = int(self.step[fall, b]) if s else 0
+                self.step[s, b] = to
+                queue.append(to)
+
+    def run(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-split pieces, by table-driven steps over many pieces at once."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order, out, each = np.argsort(-sizes, kind="stable"), [b""] * len(pieces), self.kind.itemsize
+        a = 0
+        while a < len(order) and sizes[order[a]]:
+            width = int(sizes[order[a]])
+            some = order[a : a + max(1, CELLS // width)]
+            some = some[sizes[some] > 0]
+            a += len(some)
+            flat, counts = self._steps([pieces[i] for i in some], sizes[some])
+            ids, b = flat.astype(self.kind).tobytes(), 0
+            for i, n in zip(some.tolist(), (counts * each).tolist(), strict=True):
+                out[i] = ids[b : b + n]
+                b += n
+        return out
+
+    def _steps(self, pieces: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, the longest first, one after the other, and how many each has."""
+        n, width = len(pieces), int(sizes[0])
+        inside = np.arange(width) < sizes[:, None]
+        symbols = np.zeros((n, width), np.uint8)
+        symbols[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        symbols = np.ascontiguousarray(symbols.T)
+        last = np.zeros((width, n), np.int32)  # the label that ends after each symbol
+        rows = np.zeros((width + 1, n), np.int32)  # and the state behind it; 0 is the start
+        at = np.zeros(n, np.int32)
+        most = np.searchsorted(-sizes, -np.arange(width + 1), "left")  # pieces longer than k
+        for k in range(width):
+            open_, longer = int(np.searchsorted(-sizes, -k, "left")), int(most[k + 1])
+            now = symbols[k, :open_]
+            label = self.closes[at[:open_], now].astype(np.int32)
+            at = self.step[at[:longer], now[:longer]]
+            label[:longer] = self.ends[at]
+            todo = np.arange(open_)
+            while len(todo):
+                tried = label[todo]
+                state = rows[k + 1 - self.size[tried], todo]
+                shut = self.table[self.column[tried], state >> 3] >> (state & 7).astype(np.uint8) & 1 == 0
+                todo = todo[shut]
+                label[todo] = self.shorter[tried[shut]]
+            last[k, :open_] = label
+            rows[k + 1, :open_] = self.row[label]
+        # back from each end over the labels' sizes
+        chosen, place, todo = np.zeros((n, width), bool), sizes - 1, np.arange(n)
+        while len(todo):
+            chosen[todo, place] = True
+            place = place - self.size[last[place, todo]]
+            todo, place = todo[place >= 0], place[place >= 0]
+        return last.T[chosen], chosen.sum(1)
+
+    def learn(self, words: list[str]) -> None:
+        """Add the ids of words without white space to the table of results."""
+        plain = [w for w in words if w.isascii() and w.isalpha()]
+        other = {w: self.pieces(w) for w in words if not (w.isascii() and w.isalpha())}
+        kinds = list({*plain, *chain.from_iterable(other.values())})
+        ids = dict(zip(kinds, self.run([p.encode("utf-8", "surrogatepass") for p in kinds]), strict=True))
+        self.by_word.update((w, ids[w]) for w in plain)
+        self.by_word.update((w, b"".join(map(ids.__getitem__, ps))) for w, ps in other.items())
 
     def normalized(self, text: str) -> str:
         """NFC, then each character lowered on its own."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
 
-    def text(self, text: str) -> list[tuple[int, str, str]]:
-        """Count, ids and labels of each part of a text, in order."""
-        out = []
-        known, miss = self.by_word.get, self.word
+    def _words(self, text: str) -> list[str]:
+        words: list[str] = []
         for k, part in enumerate(self.cut.split(text) if self.cut and "<|" in text else (text,)):
             if k % 2:
-                out.append((1, str(self.special[part]), part))
+                words.append("\0" + part)  # a special token
             else:
-                words = (ODD.split if ODD_IN(part) else str.split)(self.normalized(part))
-                out += [known(w) or miss(w) for w in words]
-        return [x for x in out if x[0]]
+                words += (ODD.split if ODD_IN(part) else str.split)(self.normalized(part))
+        return words
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text; texts are encoded some together, so that their new words share the steps."""
+        a = 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b]) <= GROUP_CHARS):
+                size += len(texts[b])
+                b += 1
+            split = list(map(self._words, texts[a:b]))
+            if len(self.by_word) > MOST_WORDS:
+                self.by_word.clear()
+            known = self.by_word
+            known.update(("\0" + t, np.array([i], self.kind).tobytes()) for t, i in self.special.items())
+            fresh = list(set(chain.from_iterable(split)).difference(known))
+            self.learn(fresh)
+            for words in split:
+                yield np.frombuffer(b"".join(map(known.__getitem__, words)), self.kind).tolist()
+            for w in fresh:
+                if len(w) > 40:
+                    del known[w]
+            a = b
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.text(text or "") for i in ids.split()]
+        return next(self.encode_all([text or ""]))
 
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs, joined as the library joins them where it has no decoder."""
@@ -187,9 +297,9 @@ def encoded(documents: DataFrame, text: str = "text", path: str | None = None) -
 
     @F.pandas_udf("array<int>")
     def ids(x: pd.Series) -> pd.Series:
-        return x.map(automaton(path or vocabulary()).encode)
+        return pd.Series(list(automaton(path or vocabulary()).encode_all(x.tolist())), index=x.index, dtype=object)
 
-    return bounded_batches(documents).withColumn("ids", ids(text_or_empty(text)))
+    return bounded_batches(documents).withColumn(free_name(documents, "ids"), ids(text_or_empty(text)))
 
 
 def decoded(tokens: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -200,7 +310,7 @@ def decoded(tokens: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
     def labels(x: pd.Series) -> pd.Series:
         return x.map(lambda i: automaton(path or vocabulary()).decode(i if i is not None else []))
 
-    return tokens.withColumn("decoded", labels(F.col(ids)))
+    return tokens.withColumn(free_name(tokens, "decoded"), labels(F.col(ids)))
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -214,10 +324,7 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
         own = automaton(path or vocabulary())
         sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
         for part in parts:
-            rows = []
-            for text in part.pop("text"):
-                got = own.text(text)
-                rows.append((sum(x[0] for x in got), sha(" ".join([x[1] for x in got])), sha(" ".join([x[2] for x in got]))))
+            rows = [(len(ids), sha(" ".join(map(own.numbers.__getitem__, ids))), sha(own.decode(ids))) for ids in own.encode_all(part.pop("text").tolist())]
             n, ids, labels = zip(*rows) if rows else ((), (), ())
             yield part.assign(n_tokens=pd.array(n, "int64"), ids_sha256=list(ids), decoded_sha256=list(labels))
 

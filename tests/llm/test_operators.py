@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -222,7 +223,7 @@ def test_bpe_agrees_with_the_library(docs, no_docs, rows):
     lib, own = Tokenizer.from_file(bpe_automaton.vocabulary()), bpe_automaton.automaton(bpe_automaton.vocabulary())
     rnd = random.Random(3)
     alphabet = "aaabbb  cdeéèßΣσς'İǅͅẞ\x1c\x85\xa0 ﬁ1２½<|$%&&!\n日本한👍🏽"
-    parts = [t for t in own.inner if t.isascii()]
+    parts = [t for t in own.labels if t.isascii() and t.isalpha()]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + ["".join(rnd.choice(parts) for _ in range(6)) for _ in range(3000)] + ["a" * 3000, "<|endoftext|><|startoftext|>x"]
     for t in texts:
         want = lib.encode(t, add_special_tokens=False).ids
@@ -237,6 +238,40 @@ def test_bpe_agrees_with_the_library(docs, no_docs, rows):
     assert back["decoded"] == "two</w> words</w>" and len(back["ids"]) == 2
 
 
+def test_automaton_of_small_vocabularies(tmp_path):
+    """The compiled table against the library over vocabularies of random merges, doubled symbols among them."""
+    from tokenizers import Tokenizer
+
+    whole = json.load(open(bpe_automaton.vocabulary(), encoding="utf-8"))
+    rnd = random.Random(9)
+    for case in range(25):
+        inner = list("abc"[: rnd.randint(1, 3)])
+        final = [x + "</w>" for x in inner]
+        vocab, merges = [*inner, *final], []
+        for _ in range(rnd.randint(1, 30)):
+            u, v = rnd.choice(inner), rnd.choice(inner + final)
+            if u + v in vocab:
+                continue
+            merges.append([u, v])
+            vocab.append(u + v)
+            (final if v in final else inner).append(u + v)
+        spec = {**whole, "model": {**whole["model"], "vocab": {t: i for i, t in enumerate(vocab)}, "merges": merges}, "added_tokens": [{**t, "id": len(vocab) + k} for k, t in enumerate(whole["added_tokens"])]}
+        path = tmp_path / f"{case}.json"
+        path.write_text(json.dumps(spec))
+        lib, own = Tokenizer.from_file(str(path)), bpe_automaton.Automaton(str(path))
+        words = ["".join(rnd.choice("abc"[: len([x for x in inner if len(x) == 1])]) for _ in range(rnd.randint(1, 14))) for _ in range(150)]
+        for w, got in zip(words, own.encode_all(words)):
+            assert got == lib.encode(w, add_special_tokens=False).ids, (merges, w)
+
+
+def test_long_words_and_taken_names(docs):
+    own = bpe_automaton.automaton(bpe_automaton.vocabulary())
+    word = "abracadabra" * 20_000
+    assert "".join(own.decode(own.encode(word)).split()) == word + "</w>"
+    twice = bpe_automaton.encoded(bpe_automaton.encoded(docs))
+    assert twice.columns == [*docs.columns, "ids", "ids_"]
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------------------
 
 
