@@ -1,17 +1,15 @@
-"""Helpers shared by the operators: table reading, durable intermediate tables, digests."""
+"""Helpers shared by the operators: table reading, joins with hot keys, what Python workers hold."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from girder.lineage import settled as stash  # noqa: F401
+
 #: A word, as the contracts state it: a run of bytes other than space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,31 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is named (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="girder-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        found = _own[0]
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet to the shared folder and read it back.
-
-    Unlike a cached block the table survives lost executors; unlike checkpoint() it is compressed and columnar.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -75,11 +48,31 @@ def holding(name: str, clear: Callable[[], None] | None = None) -> None:
         _holder.append((name, clear))
 
 
+HOT, MOST_HOT = 10_000, 200_000  # rows that make a key hot, and how many hot keys are broadcast
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """big.join(small, key) for a `small` with one row a key, where one key may hold a large share of `big`.
+
+    Rows of hot keys stay where they are and meet `small` by broadcast. `hot` holds these keys, by default those with over HOT
+    rows, of which there are few beside the rows. They are counted first; beyond MOST_HOT nothing is broadcast, and the join is
+    left to Spark, which splits skewed partitions.
+    """
+    keys = big.groupBy(key).count().filter(F.col("count") > HOT) if hot is None else hot
+    keys = stash(keys.select(F.col(key).alias("__hot")))
+    n = keys.limit(MOST_HOT + 1).count()
+    if not 0 < n <= MOST_HOT:
+        return big.join(small, key)
+    on = F.col(key) == F.col("__hot")
+    rest = big.join(F.broadcast(keys), on, "left_anti").join(small, key)
+    return rest.unionByName(big.join(F.broadcast(small.join(F.broadcast(keys), on, "left_semi")), key))
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """`df`, after its session was told to hand Python at most BATCH_ROWS rows or BATCH_BYTES bytes at once.
 
     Texts are long: ten thousand of them, Spark's default, take a few hundred MB of Arrow buffers and Python objects in each
-    task. Smaller settings of the user's stay.
+    task. The plan is lazy, so the setting has to outlast this call; it stays for the session, and a user's smaller one stays.
     """
     conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):

@@ -2,6 +2,9 @@
 
 Each sequence ends in a separator of its own, so suffixes are ordered within as many steps as the longest sequence has words
 and no match crosses an end. Sequences carry weights (how often each occurs), so one of many equal copies stands for all.
+
+Only the packed wavelet levels with their ranks, the weights' prefix sums and the bounds of common prefixes are kept; suffixes
+and ranks are dropped when these are made. Callers pass at least one sequence, and none is empty.
 """
 
 from __future__ import annotations
@@ -77,11 +80,11 @@ class Index:
             ranks[order] = np.cumsum(step)
             levels.append(ranks)
             h *= 2
-        self.suffixes = np.empty(n, np.int64)
-        self.suffixes[ranks] = np.arange(n)
+        suffixes = np.empty(n, np.int64)
+        suffixes[ranks] = np.arange(n)
         self.n, self.symbols, self.lengths = n, symbols, lengths
         # common prefixes of neighbours, from the ranks of the doubling
-        a, b = self.suffixes[:-1].copy(), self.suffixes[1:].copy()
+        a, b = suffixes[:-1].copy(), suffixes[1:].copy()
         common = np.zeros(n - 1, np.int64)
         for level in range(len(levels) - 2, -1, -1):
             rank, size = levels[level], 1 << level
@@ -90,17 +93,17 @@ class Index:
             same[ok] = rank[a[ok]] == rank[b[ok]]
             for x in (a, b, common):
                 x[same] += size
-        self.lcp = np.concatenate((np.zeros(1, np.int64), common, np.zeros(1, np.int64)))
+        self.lcp = np.concatenate((np.zeros(1, np.int64), common, np.zeros(1, np.int64))).astype(np.int32)
         self.left, self.right = self._bounds()
-        self.wavelet = Wavelet(text[self.suffixes - 1], most)
+        self.wavelet = Wavelet(text[suffixes - 1], most)
         self.first = k + np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(symbols, minlength=most + 1))))
         owner = np.repeat(np.arange(k), lengths + 1)
-        self.weight = np.concatenate((np.zeros(1, np.int64), np.cumsum(weights[owner[self.suffixes]])))
+        self.weight = np.concatenate((np.zeros(1, np.int64), np.cumsum(weights[owner[suffixes]])))
 
     def _bounds(self) -> tuple[np.ndarray, np.ndarray]:
         """For each boundary the nearest boundaries on both sides with a shorter common prefix."""
         size = len(self.lcp)
-        left, right = np.zeros(size, np.int64), np.full(size, size - 1)
+        left, right = np.zeros(size, np.int32), np.full(size, size - 1, np.int32)
         at, depth = np.flatnonzero(self.lcp >= 1), 1
         while len(at):
             cut = np.flatnonzero(np.diff(at) > 1) + 1

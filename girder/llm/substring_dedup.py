@@ -8,7 +8,8 @@ through it by backward search, and the matching statistics tell which windows oc
 documents, where the covered words are removed.
 
 A key that very many pieces share (a passage that a third of all documents hold) would make a hot shard: above HOT
-occurrences a key's windows are dealt one by one, each by a hash of all its words.
+occurrences a key's windows are dealt one by one, each by a hash of all its words. Equal windows are added up on their way,
+whatever their neighbours, so the shard of a window holds one row, and what is found goes back by salted joins.
 
 Defined results: a null or empty text has no words; windows are judged on the input, in any document, the same included;
 rows that agree in id and text count as documents of their own; words are cut at the six white-space bytes and kept
@@ -23,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import bounded_batches, stash, text_or_empty
+from girder.llm.common import bounded_batches, spread_join, stash, text_or_empty
 from girder.llm.fm_index import Index
 
 WINDOW, GRAM = 35, 8
 SPAN = WINDOW - GRAM + 1  # grams of a window, and the most windows of a piece
 HOT = 3_000
 SHARD_WORDS = 200_000  # words of one index, unless a single key has more
+SALTS = 64  # parts in which the pieces that hold a window of a hot key meet what was found
+MOST_SEEN = 500_000  # windows that a task knows to have sent
 BATCH_BYTES = 1 << 21
 
 _M64 = (1 << 64) - 1
@@ -146,8 +150,9 @@ def _pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 PIECE = "k long, first int, n int, times int, key long, whole long"
-SENT = "shard long, key long, whole long, off int, n int, weight long, words binary"
-FOUND = "key long, whole long, a int, b int"
+SENT = "hot boolean, shard long, sign long, key long, whole long, off int, n int, weight long, words binary"
+SEQUENCE = "hot boolean, shard long, whole long, n int, weight long, words binary"
+FOUND = "hot boolean, shard long, whole long, a int, b int"
 
 
 def holds(h: Hashes, first: int, windows: int, whole: int) -> bool:
@@ -157,8 +162,9 @@ def holds(h: Hashes, first: int, windows: int, whole: int) -> bool:
 
 
 def _send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words of the pieces to send from each text: a piece as one, or each window of a hot key on its own."""
-    names = ["shard", "key", "whole", "off", "n", "weight", "words"]
+    """The words of the pieces to send from each text: a piece as one, or each window of a hot key on its own, with its words
+    where the task has not sent them yet. `sign` is a second hash of a window's words."""
+    names, seen = [x.split()[0] for x in SENT.split(", ")], set()
     for part in parts:
         rows = []
         for text, wanted in zip(encoded(part["text"]), part["wanted"], strict=True):
@@ -167,11 +173,16 @@ def _send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 first, n = x["first"], x["n"]
                 if not holds(h, first, n, x["whole"]):
                     continue
-                if x["total"] <= HOT:
-                    rows.append((x["key"], x["key"], x["whole"], 0, n, x["weight"], b" ".join(words[first : first + n + WINDOW - 1])))
-                else:
-                    own = h.of(np.arange(first, first + n), WINDOW).view(np.int64).tolist()
-                    rows += [(own[i], x["key"], x["whole"], i, 1, x["weight"], b" ".join(words[first + i : first + i + WINDOW])) for i in range(n)]
+                if not x["hot"]:
+                    rows.append((False, x["key"], 0, x["key"], x["whole"], 0, n, x["weight"], b" ".join(words[first : first + n + WINDOW - 1])))
+                    continue
+                for i, own in enumerate(h.of(np.arange(first, first + n), WINDOW).view(np.int64).tolist()):
+                    window = b" ".join(words[first + i : first + i + WINDOW])
+                    sign = int(np.uint64(xxhash.xxh64_intdigest(window)).view(np.int64))
+                    rows.append((True, own, sign, x["key"], x["whole"], i, 1, x["weight"], None if (own, sign) in seen else window))
+                    if len(seen) >= MOST_SEEN:
+                        seen.clear()
+                    seen.add((own, sign))
             if len(rows) > 20_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
@@ -196,8 +207,8 @@ def _search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def run(some: pd.DataFrame) -> pd.DataFrame:
         found = repeated([w.split() for w in some["words"]], some["weight"].to_numpy(np.int64))
-        key, whole, off = some["key"].to_numpy(), some["whole"].to_numpy(), some["off"].to_numpy()
-        return pd.DataFrame([(key[i], whole[i], off[i] + a, off[i] + b) for i, a, b in found], columns=["key", "whole", "a", "b"])
+        hot, shard, whole = some["hot"].to_numpy(bool), some["shard"].to_numpy(), some["whole"].to_numpy()
+        return pd.DataFrame([(hot[i], shard[i], whole[i], a, b) for i, a, b in found], columns=["hot", "shard", "whole", "a", "b"])
 
     for part in parts:
         held.append(part)
@@ -222,20 +233,51 @@ def _search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield run(every)
 
 
-def intervals(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): the documents with their key k, and (k, first, n, whole, a, b) of the repeated windows."""
-    rows = bounded_batches(documents).withColumn("text", text_or_empty()).withColumn("k", F.xxhash64("doc_id", "text"))
+def shared_pieces(rows: DataFrame) -> DataFrame:
+    """The pieces whose key occurs again, with the `total` of the key, from rows with k and text."""
     cut = stash(rows.select("k", "text").mapInPandas(_pieces, PIECE))
-    totals = cut.groupBy("key").agg(F.sum("times").alias("total")).filter("total > 1")
-    shared = stash(cut.join(totals, "key"))
+    totals = stash(cut.groupBy("key").agg(F.sum("times").alias("total")).filter("total > 1"))
+    return stash(spread_join(cut, totals, "key", totals.filter(F.col("total") > HOT)))
+
+
+def sent(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """What the shards are made of, before equal rows are added up; equal pieces are sent once, with their number."""
     kinds = shared.groupBy("key", "whole").agg(F.count("*").alias("weight"), F.min(F.struct("k", "first")).alias("at"), F.first("n").alias("n"), F.first("total").alias("total"))
-    chosen = kinds.select(F.col("at.k").alias("d"), F.struct(F.col("at.first").alias("first"), "n", "key", "whole", "weight", "total").alias("x")).groupBy("d").agg(F.collect_list("x").alias("wanted"))
+    chosen = kinds.select(F.col("at.k").alias("d"), F.struct(F.col("at.first").alias("first"), "n", "key", "whole", "weight", (F.col("total") > HOT).alias("hot")).alias("x")).groupBy("d").agg(F.collect_list("x").alias("wanted"))
     # the same columns as in the last join, so that one exchange of the texts serves both
-    sent = rows.select("doc_id", "k", "text").join(chosen, F.col("k") == F.col("d")).select("doc_id", "text", "wanted").mapInPandas(_send, SENT)
-    sent = sent.groupBy("shard", "key", "whole", "off", "n").agg(F.max("weight").alias("weight"), F.first("words").alias("words"))
-    found = sent.repartition("shard").sortWithinPartitions("shard").select("shard", "key", "whole", "off", "n", "weight", "words").mapInPandas(_search, FOUND)
-    spans = shared.select("k", "first", "n", "key", "whole").join(found, ["key", "whole"]).select("k", "first", "n", "whole", "a", "b")
-    return rows, spans
+    return rows.select("doc_id", "k", "text").join(chosen, F.col("k") == F.col("d")).select("doc_id", "text", "wanted").mapInPandas(_send, SENT)
+
+
+def hot_windows(raw: DataFrame) -> DataFrame:
+    """One row for each window of the hot keys; its weight is the number of all pieces that hold it."""
+    sums = raw.filter("hot").groupBy("shard", "sign").agg(F.sum("weight").alias("weight"), F.first("words", ignorenulls=True).alias("words"))
+    return sums.select(F.lit(True).alias("hot"), "shard", F.col("sign").alias("whole"), F.lit(1).alias("n"), "weight", "words")
+
+
+def searched(sequences: DataFrame) -> DataFrame:
+    return sequences.repartition("shard").sortWithinPartitions("shard").select(*(x.split()[0] for x in SEQUENCE.split(", "))).mapInPandas(_search, FOUND)
+
+
+def intervals(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): the documents with their key k, and (k, first, n, whole, a, b) of the repeated windows."""
+    rows = bounded_batches(documents).withColumn("text", text_or_empty()).withColumn("k", F.xxhash64("doc_id", "text"))
+    shared = shared_pieces(rows)
+    raw = sent(rows, shared)
+    any_hot = bool(shared.filter(F.col("total") > HOT).limit(1).count())
+    if any_hot:
+        raw = stash(raw)
+    sequences = raw.filter("not hot").groupBy("hot", "shard", "whole", "n").agg(F.max("weight").alias("weight"), F.first("words").alias("words"))
+    cold = shared.filter(F.col("total") <= HOT).withColumnRenamed("key", "shard")
+    if not any_hot:
+        return rows, cold.join(searched(sequences).drop("hot"), ["shard", "whole"]).select("k", "first", "n", "whole", "a", "b")
+    found = stash(searched(sequences.unionByName(hot_windows(raw))))
+    spans = cold.join(found.filter("not hot").drop("hot"), ["shard", "whole"]).select("k", "first", "n", "whole", "a", "b")
+    windows = found.filter("hot").select("shard", F.col("whole").alias("sign"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).distinct()
+    holders = raw.filter("hot").withColumn("salt", F.pmod("whole", F.lit(SALTS)).cast("int")).join(windows, ["shard", "sign", "salt"])
+    offsets = stash(holders.groupBy(F.struct("key", "whole").alias("piece")).agg(F.collect_set("off").alias("offs")))
+    warm = shared.filter(F.col("total") > HOT).withColumn("piece", F.struct("key", "whole"))
+    again = spread_join(warm, offsets, "piece").select("k", "first", "n", "whole", F.explode("offs").alias("a")).withColumn("b", F.col("a") + 1)
+    return rows, spans.unionByName(again)
 
 
 def _removed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
