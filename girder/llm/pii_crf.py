@@ -5,9 +5,13 @@ access tokens, phone numbers without a country code, and spelled-out addresses.
 its neighbours), its weights are fitted on the driver to a small labelled table by gradient ascent on the likelihood, and
 executors decode whole texts by Viterbi over padded numpy batches of lines.
 
+Lines are the field's sequences and are decoded whole, however long they are; scores are made some thousand words at a time.
+Words whose features are alike share a class; features are of whole words, and those the field was not fitted to have no
+weight, so there are few classes.
+
 Defined results: a null or empty text has no spans; positions are code points, ends exclusive; a span of the field that
-overlaps a pattern's is dropped, so the patterns' spans always stay; lines are the field's sequences (a line of over 256
-words is cut at the next plain word); equal texts get equal spans; other columns pass through `find` and `mask` untouched.
+overlaps a pattern's is dropped, so the patterns' spans always stay; equal texts get equal spans, however long their lines
+and words; other columns pass through `find` and `mask` untouched, and if there is a column `spans`, the new one is `spans_`.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import bounded_batches, holding
+from girder.llm.common import bounded_batches, free_name, holding
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -64,7 +68,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of what the fixed patterns find, by start and kind."""
     out = [(a, "email", b) for a, b in emails(text)] if "@" in text else []
-    out += [(m.start(), "ip", m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split("."))]
+    out += [(m.start(), "ip", m.end()) for m in IP.finditer(text) if all(len(d := x.lstrip("0")) < 4 and int(d or 0) < 256 for x in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
             out.append((m.start(), "card", m.end()))
@@ -77,13 +81,20 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 CUES = frozenset("= : token key secret password passwd pwd apikey api_key bearer tel phone call fax mobile".split())
 AT, DOT = frozenset(("(at)", "[at]", "{at}")), frozenset(("(dot)", "[dot]", "{dot}"))
-EDGE = re.compile(r"^[^0-9A-Za-z(\[]+|[^0-9A-Za-z)\]]+$")
+HEAD, TAIL = re.compile(r"[0-9A-Za-z(\[]"), re.compile(r".*[0-9A-Za-z)\]]", re.S)
 RUNS = ((re.compile(r"[^\W\d_]+"), "x"), (re.compile(r"[0-9]{6,}"), "D"), (re.compile(r"[0-9]"), "d"))
 
 
+def core_of(word: str) -> tuple[int, int]:
+    """Where a word begins and ends without the marks on its ends; empty if there is nothing else."""
+    a, b = HEAD.search(word), TAIL.match(word)
+    return (a.start(), b.end()) if a and b and a.start() < b.end() else (0, 0)
+
+
 def features(word: str) -> tuple[str, ...]:
     """Shape, length and cue of a word; the shape of a plain word is x, whatever marks hang on its ends."""
-    core = EDGE.sub("", word)
+    a, b = core_of(word)
+    core = word[a:b]
     low = core.lower()
     if low in AT or low in DOT:
         return ("at" if low in AT else "dot",)
@@ -97,10 +108,10 @@ def features(word: str) -> tuple[str, ...]:
             turns = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:], strict=False))
             return ("mixed", f"mixed {min(size // 8, 4)}", f"turns {min(turns // 3, 3)}")
         return ("digits", f"digits {min(size, 12)}")
-    shape = core[:40]
+    shape = core
     for run, mark in RUNS:
         shape = run.sub(mark, shape)
-    return ("shape " + shape[:16],)
+    return ("shape " + shape,)
 
 
 # -- training ----------------------------------------------------------------------------------------------------------
@@ -168,6 +179,7 @@ def labelled_table(spark: SparkSession) -> DataFrame:
 
 
 PLACES = (-2, -1, 0, 1)
+STEPS = 4096  # words of a line whose scores are made at once
 
 
 class Field:
@@ -175,46 +187,44 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray, first: np.ndarray) -> None:
         self.names, self.weights, self.moves, self.first = names, weights, moves, first
-        self.classes: dict[tuple[str, ...], int] = {}
+        self.classes: dict[tuple[int, ...], int] = {}
         self.words: dict[str, int] = {}
         self.table = np.zeros((1, len(PLACES), len(LABELS)), np.float32)  # class 0: beyond a line's ends
 
     def class_of(self, word: str) -> int:
-        """Words with equal features share a class, a row of summed weights."""
-        got = features(word)
-        k = self.classes.get(got)
+        """Words with equal known features share a class, a row of summed weights."""
+        known = tuple(self.names[f] for f in features(word) if f in self.names)
+        k = self.classes.get(known)
         if k is None:
-            k = self.classes[got] = len(self.table)
-            known = [self.names[f] for f in got if f in self.names]
-            row = self.weights[known].sum(0) if known else np.zeros(self.table.shape[1:], np.float32)
+            k = self.classes[known] = len(self.table)
+            row = self.weights[list(known)].sum(0) if known else np.zeros(self.table.shape[1:], np.float32)
             self.table = np.concatenate((self.table, row[None].astype(np.float32)))
         if len(self.words) > 200_000:
             self.words.clear()
-        if len(self.classes) > 50_000:  # odd shapes only; rows start anew
-            self.words, self.classes = {}, {}
-            self.table = self.table[:1]
-            return self.class_of(word)
         if len(word) <= 40:
             self.words[word] = k
         return k
 
     def emissions(self, classes: np.ndarray) -> np.ndarray:
-        """Padded classes (lines, words) to scores (lines, words, labels)."""
-        wide = np.pad(classes, ((0, 0), (2, 1)))
-        n = classes.shape[1]
-        return sum(self.table[wide[:, 2 + p : 2 + p + n], k] for k, p in enumerate(PLACES))
+        """Classes (lines, words), with two before each line's first and one behind its last, to scores (lines, words, labels)."""
+        n = classes.shape[1] - 3
+        return sum(self.table[classes[:, 2 + p : 2 + p + n], k] for k, p in enumerate(PLACES))
 
     def decode(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best labels of padded lines, by Viterbi; what lies beyond a line's end keeps its last state."""
-        e = self.emissions(classes)
-        rows, n, _ = e.shape
+        """Best labels of lines, the longest first, by Viterbi; what lies beyond a line's end keeps its last state."""
+        rows, n = len(classes), classes.shape[1] - 3
         back = np.zeros((n, rows, len(LABELS)), np.int8)
-        score = e[:, 0] + self.first
-        for t in range(1, n):
-            open_ = int(np.searchsorted(-lengths, -t))  # lines come longest first
-            moved = score[:open_, :, None] + self.moves
-            back[t, :open_] = moved.argmax(1)
-            score[:open_] = moved.max(1) + e[:open_, t]
+        score = np.zeros((rows, len(LABELS)), np.float32)
+        for block in range(0, n, STEPS):
+            e = self.emissions(classes[:, block : block + STEPS + 3])
+            for t in range(block, min(block + STEPS, n)):
+                open_ = int(np.searchsorted(-lengths, -t))
+                if not t:
+                    score = e[:, 0] + self.first
+                    continue
+                moved = score[:open_, :, None] + self.moves
+                back[t, :open_] = moved.argmax(1)
+                score[:open_] = moved.max(1) + e[:open_, t - block]
         out = np.zeros((rows, n), np.int8)
         at = score.argmax(1)
         every = np.arange(rows)
@@ -279,15 +289,30 @@ def trained(spark: SparkSession, table: DataFrame | None = None) -> Field:
 # -- spans -------------------------------------------------------------------------------------------------------------
 
 WORDS = re.compile(r"\S+")
-LONG, TOKENS = 256, 60_000
+TOKENS = 60_000  # words of one grid of lines, unless a single line has more
 
 
 def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, str, int]]]:
     """What the field finds in each text."""
     found: list[list[tuple[int, str, int]]] = [[] for _ in texts]
-    lines: list[tuple[int, int, int, list[int]]] = []  # text, place of the line, words before, classes
+    lines: list[tuple[int, int, str, list[int]]] = []  # text, place, words, their classes and what surrounds them
     size = 0
 
+    def spans_of(doc: int, start: int, line: str, labels: np.ndarray) -> None:
+        """The spans of a line, from the labels of its words."""
+        spans, run, last = [], "", -2
+        marked = dict(zip(at := np.flatnonzero(labels).tolist(), labels[at].tolist(), strict=True))
+        for i, m in enumerate(WORDS.finditer(line)):
+            if i not in marked:
+                continue
+            tag, (a, b) = LABELS[marked[i]], core_of(m[0])
+            if tag[0] == "I" and run == tag[2:] and last == i - 1:
+                spans[-1][2] = start + m.start() + b if a < b else spans[-1][2]
+            elif a < b:
+                spans.append([start + m.start() + a, tag[2:], start + m.start() + b])
+            run, last = tag[2:] if spans else "", i
+        found[doc] += [tuple(s) for s in spans if s[0] < s[2]]
+
     def flush() -> None:
         nonlocal size
         lines.sort(key=lambda x: -len(x[3]))
@@ -295,55 +320,22 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, str, int
         while i < len(lines):
             some = lines[i : i + max(1, TOKENS // len(lines[i][3]))]
             i += len(some)
-            lengths = np.array([len(x[3]) for x in some])
-            classes = np.zeros((len(some), lengths[0]), np.int32)
-            classes[np.arange(lengths[0]) < lengths[:, None]] = np.concatenate([np.array(x[3], np.int32) for x in some])
+            lengths = np.array([len(x[3]) - 3 for x in some])
+            classes = np.zeros((len(some), lengths[0] + 3), np.int32)
+            classes[np.arange(lengths[0] + 3) < lengths[:, None] + 3] = np.concatenate([np.array(x[3], np.int32) for x in some])
             labels = field.decode(classes, lengths)
             for r in np.flatnonzero(labels.any(1)):
-                doc, start, before, got = some[r]
-                text = texts[doc]
-                spans, run = [], ""
-                end = text.find("\n", start)
-                words = list(WORDS.finditer(text, start, len(text) if end < 0 else end))[before : before + len(got)]
-                for m, x in zip(words, labels[r], strict=False):
-                    tag = LABELS[x]
-                    if tag == "O":
-                        run = ""
-                        continue
-                    core = EDGE.sub(lambda g: "\0" * len(g[0]), m[0])
-                    a, b = m.start() + len(core) - len(core.lstrip("\0")), m.start() + len(core.rstrip("\0"))
-                    if tag[0] == "I" and run == tag[2:]:
-                        spans[-1][2] = b
-                    elif a < b:
-                        spans.append([a, tag[2:], b])
-                    run = tag[2:] if spans else ""
-                found[doc] += [tuple(s) for s in spans if s[0] < s[2]]
+                spans_of(*some[r][:3], labels[r])
         lines.clear()
         size = 0
 
-    known, plain = field.words.get, ("x",)
+    known = field.words.get
     for doc, text in enumerate(texts):
         start = 0
         for line in text.split("\n"):
-            words = line.split()
-            if words:
-                if len(field.classes) > 49_000:
-                    flush()
-                rows = len(field.classes)
-                classes = [known(w) or field.class_of(w) for w in words]
-                if len(field.classes) < rows:  # the rows were started anew meanwhile
-                    known = field.words.get
-                    classes = [known(w) or field.class_of(w) for w in words]
-                a = 0
-                while len(classes) - a > LONG:
-                    b, x = a + LONG, field.classes.get(plain)
-                    while b < len(classes) and classes[b] != x:
-                        b += 1
-                    lines.append((doc, start, a, classes[a:b]))
-                    a = b
-                if a < len(classes):
-                    lines.append((doc, start, a, classes[a:]))
-                size += len(classes)
+            if words := line.split():
+                lines.append((doc, start, line, [0, 0, *[known(w) or field.class_of(w) for w in words], 0]))
+                size += len(words)
             start += len(line) + 1
         if size > 8 * TOKENS:
             flush()
@@ -384,7 +376,7 @@ def find(documents: DataFrame, text: str = "text", labelled: DataFrame | None =
     def spans(x: pd.Series) -> pd.Series:
         return pd.Series([[{"kind": k, "start": a, "end": b} for a, k, b in got] for _, got in all_spans(field, x.fillna("").tolist())], dtype=object)
 
-    return bounded_batches(documents).withColumn("spans", spans(F.col(text)))
+    return bounded_batches(documents).withColumn(free_name(documents, "spans"), spans(F.col(text)))
 
 
 def mask(documents: DataFrame, text: str = "text", labelled: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from girder.llm import bpe_automaton, fm_index, id_coder, id_files, media_boxes, pii_crf, simhash_tiles, site_quality, source_mix, spot_sigs, substring_dedup, tag_paths
+from girder.llm.common import stash
 from girder.llm.components import components
 
 bag = collections.Counter
@@ -54,6 +55,26 @@ def test_a_hot_passage(spark):
     assert bag(tuple(r) for r in got) == removed(rows) and min(r["n_removed"] for r in got) == 50
 
 
+def test_a_hot_passage_sends_one_row_a_window(spark):
+    """2,000 documents hold one passage between words of their own; the windows inside it are one row each in the shards."""
+    rnd = random.Random(6)
+    text = lambda n: " ".join(rnd.choice("abcdefghijk") + str(rnd.randint(0, 30_000)) for _ in range(n))
+    passage = text(50)
+    rows = [(i, f"{text(20)} {passage} {text(20)}") for i in range(2000)]
+    was, substring_dedup.HOT = substring_dedup.HOT, 500
+    try:
+        made = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.xxhash64("doc_id", "text"))
+        raw = stash(substring_dedup.sent(made, substring_dedup.shared_pieces(made)))
+        windows = substring_dedup.hot_windows(raw).filter("weight > 100").collect()
+        assert raw.filter("hot").count() > 20_000
+        inside = [" ".join(passage.split()[i : i + 35]).encode() for i in range(16)]
+        assert sorted(bytes(w["words"]) for w in windows) == sorted(inside) and all(w["weight"] == 2000 for w in windows)
+        got = substring_dedup.digests(made.drop("k")).collect()
+    finally:
+        substring_dedup.HOT = was
+    assert bag(tuple(r) for r in got) == removed(rows)
+
+
 def test_matching_statistics():
     rnd = random.Random(4)
     for _ in range(60):
@@ -116,7 +137,7 @@ def field():
 def test_field_on_held_out_sentences(field):
     right = every = 0
     for _, words, tags in pii_crf.labelled(200, seed=77):
-        got = field.decode(np.array([[field.class_of(w) for w in words]]), np.array([len(words)]))[0]
+        got = field.decode(np.array([[0, 0, *(field.class_of(w) for w in words), 0]]), np.array([len(words)]))[0]
         right += sum(pii_crf.LABELS[g] == t for g, t in zip(got, tags))
         every += len(tags)
     assert right / every > 0.99
@@ -126,7 +147,7 @@ def test_viterbi_is_exact(field):
     import itertools
 
     words = ["an", "token", "=", '"04dbebab91ab85687d33eeaaf9ac699e1188f962"', "on"]
-    classes = np.array([[field.class_of(w) for w in words]])
+    classes = np.array([[0, 0, *(field.class_of(w) for w in words), 0]])
     e = field.emissions(classes)[0]
     best = max(itertools.product(range(len(pii_crf.LABELS)), repeat=len(words)), key=lambda p: field.first[p[0]] + sum(e[i, x] for i, x in enumerate(p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:])))
     assert field.decode(classes, np.array([len(words)]))[0].tolist() == list(best)
@@ -134,6 +155,45 @@ def test_viterbi_is_exact(field):
     assert pii_crf.field_spans(field, [text, "", "nothing at all"]) == [[(text.index("04"), "secret", text.index("04") + 40)], [], []]
 
 
+def test_long_lines_are_decoded_whole(field):
+    """A span far inside a line is one span, and a line of a hundred thousand words has the best path of all its words."""
+    mail = "jane [at] mail [dot] com"
+    for n in (*range(250, 260), *range(4085, 4100)):
+        line = "an " * n + mail + " the end" * 150
+        assert pii_crf.field_spans(field, [line]) == [[(3 * n, "email", 3 * n + len(mail))]]
+    rnd = random.Random(12)
+    odd = ["token", "=", "[at]", "[dot]", "com", "a1b2" * 9, "(555)", "123-4567", "...", "x-y-z", "é", "12"]
+    words = [rnd.choice(odd) if rnd.random() < 0.3 else "the" for _ in range(100_000)]
+    classes = np.array([[0, 0, *(field.class_of(w) for w in words), 0]])
+    got = field.decode(classes, np.array([len(words)]))[0]
+    e, back = field.emissions(classes)[0], []
+    score = e[0] + field.first
+    for row in e[1:]:
+        moved = score[:, None] + field.moves
+        back.append(moved.argmax(0))
+        score = moved.max(0) + row
+    path = [int(score.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    assert got.tolist() == path[::-1] and got.any()
+
+
+def test_odd_words(field):
+    """Very many shapes in one line, very long words and marks, numbers with very many zeros."""
+    line = " ".join(f"{'a-' * (i % 97)}{'_1' * (i // 97 % 89)}~{i % 13 * 'é.'}z" for i in range(140_000))
+    assert pii_crf.field_spans(field, [line + " the end", "x" + "é" * 300_000 + "x", "." * 300_000])[1:] == [[], []]
+    assert len(field.classes) < 2_000
+    assert pii_crf.base_spans("1.2." + "0" * 6000 + "3.4") == [(0, "ip", 6007)] and pii_crf.base_spans("1.2.3." + "9" * 6000) == []
+    assert [pii_crf.core_of(w) for w in ("(ab),", "é.", ")(", "\"x\"", "")] == [(0, 4), (0, 0), (0, 0), (1, 2), (0, 0)]
+
+
+def test_spans_beside_a_column_of_that_name(docs):
+    found = pii_crf.find(docs)
+    assert found.columns == [*docs.columns, "spans_"]
+    row = found.filter("doc_id = 18").select("spans", "spans_").first()
+    assert row["spans"] == "s" and [s["kind"] for s in row["spans_"]] == ["email", "phone", "ip", "card"]
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------------
 
 
