@@ -1,12 +1,14 @@
 """Operator 8: ISO base media containers.
 
 `pack` stores a payload as uncompressed 8-bit samples in a movie file (ftyp, moov, mdat); `probe` walks the nested boxes of
-any such file, decodes its sample tables and reports codec, duration and the byte ranges of its keyframes without touching
-the payload; `unpack` reads the sample bytes back through the tables. `media_columns` applies `probe` to a binary column.
-
-Defined results: a null or empty text is a payload of 64 zero bytes; a null container, or one whose boxes are damaged or cut
-short, yields null columns and a message in `error`; other columns of the input are not read. Rows are independent, so
-repeats and ties give equal rows, and a lost executor costs only the rows of its tasks.
+any such file, decodes its sample tables (of the movie and of its fragments) and reports codec, duration and the byte ranges
+of its keyframes without touching the payload; `unpack` reads the sample bytes back through the tables. `media_columns` applies
+`probe` to a binary column.
+
+Defined results: a null or empty text is a payload of 64 zero bytes; a null container, or one whose boxes are damaged, cut
+short or claim more than the file holds, yields null columns and a message in `error`, in time and memory that grow with the
+file alone, however deep its boxes nest; other columns pass through, and a new column whose name is taken has underscores
+added. Rows are independent, so repeats and ties give equal rows, and a lost executor costs only the rows of its tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import bounded_batches, text_or_empty
+from girder.llm.common import bounded_batches, free_name, text_or_empty
 
 UNIT = 64  # bytes of one sample; payloads are padded to a multiple of it
 CHUNK = 32  # samples of one chunk
@@ -106,70 +108,162 @@ def numbers(data, at: int, end: int, form: str) -> list[tuple]:
     return list(struct.iter_unpack(">" + form, data[at + 8 : at + 8 + n * step]))
 
 
-def tracks(data) -> list[dict]:
-    """The decoded tables of each track."""
-    found: list[dict] = []
-
-    def walk(start: int, end: int) -> None:
-        for kind, a, b in boxes(data, start, end):
-            if kind == b"trak":
-                found.append({"codec": None, "scale": 0, "duration": 0, "stts": [], "stsc": [], "sizes": [], "offsets": [], "sync": None})
-            t = found[-1] if found else None
-            if kind in NESTING:
-                walk(a, b)
-            elif t is None:
-                continue
-            elif kind == b"mdhd":
-                t["scale"], t["duration"] = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
-            elif kind == b"stsd":
-                t["codec"] = next((k.decode("latin-1") for k, *_ in boxes(data, a + 8, b)), None)
-            elif kind == b"stts":
-                t["stts"] = numbers(data, a, b, "II")
-            elif kind == b"stsc":
-                t["stsc"] = numbers(data, a, b, "III")
-            elif kind == b"stsz":
-                size, n = struct.unpack_from(">II", data, a + 4)
-                t["sizes"] = [size] * n if size else [x for (x,) in struct.iter_unpack(">I", data[a + 12 : a + 12 + 4 * n])]
-            elif kind in (b"stco", b"co64"):
-                t["offsets"] = [x for (x,) in numbers(data, a, b, "Q" if kind == b"co64" else "I")]
-            elif kind == b"stss":
-                t["sync"] = [x for (x,) in numbers(data, a, b, "I")]
-
-    walk(0, len(data))
+class Track:
+    """The decoded tables of a track. Samples of fragments come as (offset, size, is keyframe), in order."""
+
+    def __init__(self) -> None:
+        self.id, self.codec, self.scale, self.duration = 0, None, 0, 0
+        self.stsc: list[tuple[int, int, int]] = []
+        self.sizes: list[int] = []
+        self.offsets: list[int] = []
+        self.sync: list[int] | None = None
+        self.more: list[tuple[int, int, bool]] = []
+
+
+def sample_sizes(data, a: int, b: int, whole: int) -> list[int]:
+    size, n = struct.unpack_from(">II", data, a + 4)
+    if size * n > whole or not size and a + 12 + 4 * n > b:
+        raise ValueError("more samples than the file holds")
+    return [size] * n if size else [x for (x,) in struct.iter_unpack(">I", data[a + 12 : a + 12 + 4 * n])]
+
+
+# fixed values: flags of a fragment's tables, with the bytes of the field that each announces
+HEADER_FIELDS = {"base": (0x1, "Q"), "description": (0x2, "I"), "duration": (0x8, "I"), "size": (0x10, "I"), "flags": (0x20, "I")}
+BASE_IS_MOOF, NOT_SYNC = 0x20000, 0x10000
+RUN_FIELDS = {"duration": (0x100, "I"), "size": (0x200, "I"), "flags": (0x400, "I"), "shift": (0x800, "I")}
+
+
+def fragment_header(data, a: int, defaults: dict[int, dict]) -> tuple[int, int, dict]:
+    """Track, flags and fields of a fragment's header, on the track's defaults."""
+    flags, track = struct.unpack_from(">II", data, a)
+    at, fields = a + 8, dict(defaults.get(track, {}))
+    for name, (flag, form) in HEADER_FIELDS.items():
+        if flags & flag:
+            (fields[name],) = struct.unpack_from(">" + form, data, at)
+            at += struct.calcsize(">" + form)
+    return track, flags, fields
+
+
+def fragment_run(data, a: int, b: int, fields: dict, base: int, behind: int, whole: int) -> tuple[list[tuple[int, int, bool]], int, int]:
+    """Samples of a run of a fragment, its duration, and where it ends."""
+    flags, n = struct.unpack_from(">II", data, a)
+    at, place, first = a + 8, behind, None
+    if flags & 0x1:
+        place = base + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    if flags & 0x4:
+        (first,) = struct.unpack_from(">I", data, at)
+        at += 4
+    own = [name for name, (flag, _) in RUN_FIELDS.items() if flags & flag]
+    if at + 4 * len(own) * n > b or not own and fields.get("size", 0) * n > whole or n > whole:
+        raise ValueError("more samples than the file holds")
+    out, duration = [], 0
+    for k in range(n):
+        entry = dict(zip(own, struct.unpack_from(f">{len(own)}I", data, at + 4 * len(own) * k), strict=True)) if own else {}
+        size = entry.get("size", fields.get("size", 0))
+        marks = entry.get("flags", first if first is not None and not k else fields.get("flags", 0))
+        duration += entry.get("duration", fields.get("duration", 0))
+        out.append((place, size, not marks & NOT_SYNC))
+        place += size
+    return out, duration, place
+
+
+def tracks(data) -> list[Track]:
+    """The decoded tables of each track; the nested boxes are walked without recursion."""
+    found: list[Track] = []
+    by_id: dict[int, Track] = {}
+    defaults: dict[int, dict] = {}
+    moof = behind = 0
+    run: tuple = (0, 0, {})
+    walks = [boxes(data, 0, len(data))]
+    while walks:
+        got = next(walks[-1], None)
+        if got is None:
+            walks.pop()
+            continue
+        kind, a, b = got
+        if kind == b"trak":
+            found.append(Track())
+        elif kind == b"moof":
+            moof = behind = a - 8
+        elif kind == b"traf":
+            run = (0, 0, {})
+        t = found[-1] if found else None
+        if kind in NESTING:
+            walks.append(boxes(data, a, b))
+        elif kind == b"trex":
+            track, _, duration, size, flags = struct.unpack_from(">5I", data, a + 4)
+            defaults[track] = {"duration": duration, "size": size, "flags": flags}
+        elif kind == b"tfhd":
+            run = fragment_header(data, a, defaults)
+        elif kind == b"trun":
+            track, flags, fields = run
+            if track not in by_id:
+                raise ValueError(f"a fragment of track {track}, which there is not")
+            base = fields.get("base", moof if flags & BASE_IS_MOOF or not by_id[track].more else behind)
+            samples, duration, behind = fragment_run(data, a, b, fields, base, behind, len(data))
+            by_id[track].more += samples
+            by_id[track].duration += duration
+        elif t is None:
+            continue
+        elif kind == b"tkhd":
+            (t.id,) = struct.unpack_from(">I", data, a + (20 if data[a] else 12))
+            by_id.setdefault(t.id, t)
+        elif kind == b"mdhd":
+            t.scale, t.duration = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
+        elif kind == b"stsd":
+            t.codec = next((k.decode("latin-1") for k, *_ in boxes(data, a + 8, b)), None)
+        elif kind == b"stsc":
+            t.stsc = numbers(data, a, b, "III")
+        elif kind == b"stsz":
+            t.sizes = sample_sizes(data, a, b, len(data))
+        elif kind in (b"stco", b"co64"):
+            t.offsets = [x for (x,) in numbers(data, a, b, "Q" if kind == b"co64" else "I")]
+        elif kind == b"stss":
+            t.sync = [x for (x,) in numbers(data, a, b, "I")]
     return found
 
 
-def places(t: dict) -> list[tuple[int, int]]:
-    """Offset and size of each sample, from the chunk tables."""
-    out, sizes, n = [], iter(t["sizes"]), len(t["offsets"])
-    ends = [a for a, *_ in t["stsc"][1:]] + [n + 1]
-    for (first, each, _), end in zip(t["stsc"], ends, strict=True):
+def places(t: Track) -> list[tuple[int, int]]:
+    """Offset and size of each sample of the movie's tables, by chunks."""
+    out, sizes, n = [], iter(t.sizes), len(t.offsets)
+    ends = [a for a, *_ in t.stsc[1:]] + [n + 1]
+    for (first, each, _), end in zip(t.stsc, ends, strict=True):
+        if first < 1 or end > n + 1 or end < first:
+            raise ValueError("a chunk that there is not")
         for c in range(first - 1, end - 1):
-            at = t["offsets"][c]
+            at = t.offsets[c]
             for _ in range(each):
                 if (size := next(sizes, None)) is None:
-                    return out
+                    break
                 out.append((at, size))
                 at += size
+    if len(out) < len(t.sizes):
+        raise ValueError("samples without a chunk")
     return out
 
 
 def probe(data: bytes) -> dict:
     """Codec, seconds and keyframe byte ranges of the first track; the payload is not read."""
     t = next(iter(tracks(data)), None)
-    if t is None or not t["scale"]:
+    if t is None or not t.scale:
         raise ValueError("no track")
     at = places(t)
-    if any(a + s > len(data) for a, s in at):
+    if t.sync is not None and any(not 1 <= i <= len(at) for i in t.sync):
+        raise ValueError("a keyframe that there is not")
+    keys = list(at) if t.sync is None else [at[i - 1] for i in t.sync]
+    at += [(a, s) for a, s, _ in t.more]
+    keys += [(a, s) for a, s, key in t.more if key]
+    if any(a < 0 or a + s > len(data) for a, s in at):
         raise ValueError("a sample lies outside the file")
-    keys = at if t["sync"] is None else [at[i - 1] for i in t["sync"]]
-    return {"codec": t["codec"], "duration": t["duration"] / t["scale"], "n_samples": len(at), "keyframes": keys}
+    return {"codec": t.codec, "duration": t.duration / t.scale, "n_samples": len(at), "keyframes": keys}
 
 
 def unpack(data: bytes) -> bytes:
     """The first track's samples, one after the other."""
     out, run = [], None
-    for a, s in places(tracks(data)[0]):
+    t = tracks(data)[0]
+    for a, s in [*places(t), *((a, s) for a, s, _ in t.more)]:
         if run and run[1] == a:
             run[1] = a + s
         else:
@@ -198,7 +292,7 @@ def media_columns(df: DataFrame, column: str = "media", prefix: str = "media_")
 
     got = read(F.col(column))
     names = [x.split()[0] for x in PROBED.split(", ")]
-    return df.withColumn("__probed", got).select(*df.columns, *(F.col(f"__probed.{n}").alias(prefix + n) for n in names))
+    return df.withColumn("__probed", got).select(*df.columns, *(F.col(f"__probed.{n}").alias(free_name(df, prefix + n)) for n in names))
 
 
 def store(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
@@ -208,7 +302,7 @@ def store(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     def write(x: pd.Series) -> pd.Series:
         return x.map(lambda t: pack(padded(t)))
 
-    return df.withColumn(out, write(text_or_empty(text)))
+    return df.withColumn(free_name(df, out), write(text_or_empty(text)))
 
 
 def feature(found: dict) -> str:
