@@ -1,7 +1,8 @@
 """Operator 6: quality classifier with hierarchical empirical Bayes.
 
-Two classifiers give each document log-odds of being toxic and of being junk: a naive Bayes, for each language, over words that
-its toxic documents share, present and absent, and a logistic regression over how the text is built (repeats, bars, capitals, marks, line lengths). Hosts and the
+Two classifiers give each document log-odds of being toxic and of being junk: a naive Bayes, for each language, over its telling
+words, present and absent (all words that toxic documents hold significantly more often, by the likelihood ratio; the others
+say nothing), and a logistic regression over how the text is built (repeats, bars, capitals, marks, line lengths). Hosts and the
 paths below them then get posterior rates by grouped sums over all documents: a host's rate is shrunk toward the global one,
 a path's toward its host's, each by a strength estimated from the spread between groups (method of moments), so a site with
 few documents has little to say. A document's final odds are its own evidence on the prior odds of its path.
@@ -14,7 +15,8 @@ cover all documents.
 Defined results: a null or empty text is junk by definition (`p_junk` 1); null hosts or paths are groups of their own; if no
 labels of a kind exist its probability is the global rate of 0; a language whose labels tell no words (few of them, or none) is
 judged by the words of all languages together, null is a language of its own; repeated rows are scored alike; an empty table gives an empty
-result; `keep` filters and returns exactly the input's columns.
+result; `keep` filters and returns exactly the input's columns with their own values; `classify` adds its three columns, with
+underscores behind a name that the input has already.
 """
 
 from __future__ import annotations
@@ -26,14 +28,13 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import bounded_batches, holding, stash, table
+from girder.llm.common import bounded_batches, free_name, holding, stash, table
 
 MOST_LABELLED = 12_000
-LEXICON = 50  # words kept at most for each language, the most telling first
-LEAST_DOCS, LEAST_WEIGHT, LEAST_Z = 3, 2.0, 3.5
+LEAST_DOCS, LEAST_WEIGHT, LEAST_Z = 3, 2.0, 3.5  # what makes a word telling: documents that hold it, its weight, its significance
 ALL = "\0"  # stands for all languages together
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -146,8 +147,8 @@ def lexicons(rated: DataFrame) -> dict[str | None, tuple[float, dict[str, float]
     cells = ((F.col("a"), F.col("bad"), share), (F.col("b"), F.col("docs") - F.col("bad"), share), (F.col("bad") - F.col("a"), F.col("bad"), 1 - share), (F.col("docs") - F.col("bad") - F.col("b"), F.col("docs") - F.col("bad"), 1 - share))
     ratio = sum((F.when(k > 0, k * F.log(k / (n * part))).otherwise(0.0) for k, n, part in cells), F.lit(0.0))
     counts = counts.withColumns({"weight": F.log(p / q), "absent": F.log((1 - p) / (1 - q)), "z": F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))})
-    ranked = counts.filter((F.col("weight") > LEAST_WEIGHT) & (F.col("z") > LEAST_Z)).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("z"), "word")))
-    for r in ranked.filter(F.col("at") <= LEXICON).orderBy("lang", "at").select("lang", "docs", "bad", "word", "weight", "absent").collect():
+    telling = counts.filter((F.col("weight") > LEAST_WEIGHT) & (F.col("z") > LEAST_Z))  # no more than the labelled rows' own words
+    for r in telling.orderBy("lang", F.desc("z"), "word").select("lang", "docs", "bad", "word", "weight", "absent").collect():
         base, words = out.get(r["lang"]) or (float(np.log((r["bad"] + 0.5) / (r["docs"] - r["bad"] + 0.5))), {})
         words[r["word"]] = r["weight"] - r["absent"]
         out[r["lang"]] = base + r["absent"], words
@@ -219,24 +220,31 @@ def priors(scored: DataFrame, host: str, path: str) -> DataFrame:
     return out.select("__host", "__path", "__prior_toxic", "__prior_junk")
 
 
+def judged(scored: DataFrame, host: str, path: str) -> DataFrame:
+    """`scored` (a written table with evidence and __empty) with __p_toxic, __p_junk and __keep."""
+    found = stash(priors(scored.select(*{host, path}, "__toxic", "__junk"), host, path))
+    small = found.count() <= 50_000
+    joined = scored.join(F.broadcast(found) if small else found, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")))
+    p_toxic = chance(F.col("__toxic") + F.col("__prior_toxic"))
+    p_junk = F.when(F.col("__empty"), F.lit(1.0)).otherwise(chance(F.col("__junk") + F.col("__prior_junk")))
+    out = joined.withColumns({"__p_toxic": p_toxic, "__p_junk": p_junk})
+    return out.withColumn("__keep", (F.col("__p_toxic") < 0.5) & (F.col("__p_junk") < 0.5))
+
+
+def marked(documents: DataFrame, model: Model) -> DataFrame:
+    """`documents` with evidence and __empty, written, so that the texts are scored once."""
+    return stash(evidence(documents, model).withColumn("__empty", F.trim(F.coalesce("text", F.lit(""))) == ""))
+
+
 def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = MOST_LABELLED) -> DataFrame:
     """`documents` with p_toxic, p_junk and keep."""
-    names = [c for c in documents.columns if c not in ("p_toxic", "p_junk", "keep")]
-    model = fit(documents, labels, most)
-    scored = evidence(documents, model)
-    light = stash(evidence(documents.select(*dict.fromkeys(c for c in ("text", "lang", host, path) if c != "lang" or c in documents.columns)), model).drop("text"))
-    table_ = priors(light, host, path)
-    small = table_.count() <= 50_000
-    joined = scored.join(F.broadcast(table_) if small else table_, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")))
-    empty = F.trim(F.coalesce("text", F.lit(""))) == ""
-    p_toxic = chance(F.col("__toxic") + F.col("__prior_toxic"))
-    p_junk = F.when(empty, F.lit(1.0)).otherwise(chance(F.col("__junk") + F.col("__prior_junk")))
-    return joined.select(*names, p_toxic.alias("p_toxic"), p_junk.alias("p_junk")).withColumn("keep", (F.col("p_toxic") < 0.5) & (F.col("p_junk") < 0.5))
+    out = judged(marked(documents, fit(documents, labels, most)), host, path)
+    return out.select(*documents.columns, *(F.col(f"__{c}").alias(free_name(documents, c)) for c in ("p_toxic", "p_junk", "keep")))
 
 
-def keep(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def keep(documents: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of `documents` that are neither toxic nor junk."""
-    return classify(documents, labels).filter("keep").select(*documents.columns)
+    return judged(marked(documents, fit(documents, labels)), host, path).filter("__keep").select(*documents.columns)
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,9 +252,5 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(documents, labels)
     scored = stash(evidence(documents.select("doc_id", "source", "lang", "text"), model).withColumn("__empty", F.trim(F.coalesce("text", F.lit(""))) == "").drop("text"))
-    found = priors(scored, "source", "lang")
-    small = found.count() <= 50_000
-    joined = scored.join(F.broadcast(found) if small else found, F.col("source").eqNullSafe(F.col("__host")) & F.col("lang").eqNullSafe(F.col("__path")))
-    p_junk = F.when(F.col("__empty"), F.lit(1.0)).otherwise(chance(F.col("__junk") + F.col("__prior_junk")))
-    out = joined.select("doc_id", chance(F.col("__toxic") + F.col("__prior_toxic")).alias("p_toxic"), p_junk.alias("p_junk"))
-    return out.withColumn("keep", (F.col("p_toxic") < 0.5) & (F.col("p_junk") < 0.5))
+    out = judged(scored, "source", "lang")
+    return out.select("doc_id", F.col("__p_toxic").alias("p_toxic"), F.col("__p_junk").alias("p_junk"), F.col("__keep").alias("keep"))

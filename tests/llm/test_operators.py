@@ -259,6 +259,47 @@ def test_main_text(tag):
     assert tag_paths.main_text(PAGE % (tag, tag)) == TEXT
 
 
+LONG = "A sentence of the article, with commas, and more; it goes on for a while. Then it ends, as others do. "
+PLAIN = """<body><div><span>Home</span><span>News</span></div><div><i>Latest</i></div><section><h2>Title</h2>%s<ul><li>first item</li><li>second item</li></ul>%s</section><div><b>Short line here</b></div></body>"""
+
+
+def test_ratios_decide(monkeypatch):
+    """On a page without telling names the ratios alone part the article from the rest, and without them nothing does."""
+    paragraphs = "".join(f"<p>{LONG * n}</p>" for n in (1, 3, 2))
+    page = PLAIN % (paragraphs, paragraphs)
+    plain = [(LONG * n).strip() for n in (1, 3, 2)]
+    assert tag_paths.main_text(page).split("\n\n") == ["Title", *plain, "first item", "second item", *plain]
+    monkeypatch.setattr(tag_paths, "content_paths", lambda sums: set(range(len(sums))))
+    assert "Latest" in tag_paths.main_text(page) and "Short line here" in tag_paths.main_text(page)
+
+
+def test_comments_and_adverts_inside_an_article():
+    body = f"<h1>Title</h1><p>{LONG * 2}</p><p>{LONG}</p>"
+    for name in ("comment-body", "post-comments", "ad-content", "article-comments", "sidebar main"):
+        page = f'<body><article>{body}<div class="{name}"><p>A reader says this, and that. Well done, really. {LONG}</p></div></article></body>'
+        assert "reader" not in tag_paths.main_text(page) and tag_paths.main_text(page).count("Then it ends") == 3
+    page = f'<body><div class="copyright-law">{body}</div><footer>someone, somewhere.</footer></body>'
+    assert tag_paths.main_text(page) == f"Title\n\n{(LONG * 2).strip()}\n\n{LONG.strip()}"
+    page = f"<article><p title=don't>Hello {LONG}</p><figure><figcaption>A caption</figcaption></figure><ul><li><a href='x'>A source</a></li></ul></article>"
+    assert tag_paths.main_text(page) == f"Hello {LONG.strip()}\n\nA caption\n\nA source"
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    began = time.process_time()
+    n = 100_000
+    for page in ('<a b "' * n, "<div><p>word " * n, "<b>" * n + "</i>" * n, "<div>" * n + "</x></span>" * n, "<!--" * n, "<!" * n, "<script>" * n, "<p" * n, "<p>x</p>" * n, "<li>x" * n, "&" * n, "<a b='" * n, "<tr><td>x" * n):
+        tag_paths.main_text(page)
+    assert time.process_time() - began < 60  # about a second each on an idle core; quadratic time would take hours
+
+
+def test_markup_that_breaks_off():
+    assert tag_paths.main_text("<p>One, two. <b>three</b> <i class='x") == "One, two. three"
+    assert tag_paths.main_text("a < b and c > d, e &amp; f <3") == "a < b and c > d, e & f <3"
+    assert tag_paths.main_text("<P>One,<BR/>two.</P><SCRIPT>no</script ><p>three, four.") == "One, two.\n\nthree, four."
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE % ("article", "article")), (2, None, None), (3, "u", ""), (4, "u", "<p>"), (5, "u", "plain words, no tags. At all"), (6, "u", "<article><p>cut <b>off, he"), (6, "u", "<article><p>x</p><di"), (None, None, "<html>")]
     got = tag_paths.digests(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -354,6 +395,23 @@ def test_toxic_words_of_each_language(spark):
     assert max(v for (_, toxic), v in found.items() if not toxic) < 0.03
 
 
+def test_junk_held_out(spark):
+    """Half the labels fit, the other half count: junk is found and the rest is kept, by evidence alone and with the sites' priors."""
+    d = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{d}/{x}.parquet") for x in ("documents", "labels"))
+    got = site_quality.classify(documents, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
+    junk, found, clean, kept = got.agg(F.count_if("quality = 0"), F.count_if("quality = 0 and p_junk > 0.5"), F.count_if("quality = 1 and toxic = 0"), F.count_if("quality = 1 and toxic = 0 and keep")).first()
+    assert junk > 10 and found / junk > 0.9 and kept / clean > 0.95
+
+
+def test_quality_columns_that_clash(spark, docs):
+    named = docs.withColumns({"p_toxic": F.lit("own"), "KEEP": F.lit(3)})
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    out = site_quality.classify(named, labels)
+    assert out.columns == [*named.columns, "p_toxic_", "p_junk", "keep_"] and {r["p_toxic"] for r in out.collect()} == {"own"}
+    assert {(r["p_toxic"], r["KEEP"]) for r in site_quality.keep(named, labels).collect()} <= {("own", 3)}
+
+
 def test_toxic_words_without_a_language(spark):
     rows = [(i, f"w{i} plain text {'zonk' if i % 4 == 0 else ''}", int(i % 4 == 0)) for i in range(80)]
     made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
@@ -436,6 +494,65 @@ def test_media(docs, no_docs, rows):
     got = media_boxes.digests(docs).collect()
     assert bag(tuple(r)[:5] for r in got) == want
     assert media_boxes.digests(no_docs).collect() == []
+    raws = [(r[1] or "").encode() for r in rows]
+    by_payload = {sha(p): p for p in (raw + bytes(-len(raw) % 64 if raw else 64) for raw in raws)}
+    for r in got:
+        p, n = by_payload[r["payload_sha256"]], r["payload_bytes"] // 64
+        keys = -(-n // 16)
+        media = media_boxes.pack(p)
+        start = media.index(p)
+        assert r["media_bytes"] == len(media) and r["media_sha256"] == sha(media) and media.endswith(p)
+        assert r["feature"] == f"raw;{len(p) / 8000:.3f}s;{n} samples;{keys} keyframes;{start}+64..{start + (keys - 1) * 1024}+64"
+
+
+def test_hostile_containers(spark):
+    """Boxes nested three thousand deep, tables that claim four thousand million samples, tables cut short, keyframes that there
+    are not: an error each, and nothing is allocated for them."""
+    nested = b""
+    for _ in range(3000):
+        nested = media_boxes.box(b"moov", nested)
+    movie = media_boxes.pack(b"x" * 640)
+    at = movie.index(b"stsz")
+    huge = movie[: at + 8] + b"\0\0\0\x01\xff\xff\xff\xff" + movie[at + 16 :]
+    short = movie[: at + 8] + b"\0\0\0\0\0\0\0\x09" + movie[at + 16 :]
+    key = movie.index(b"stss")
+    wrong = movie[: key + 12] + b"\0\0\0\x63" + movie[key + 16 :]
+    chunk = movie.index(b"stsc")
+    far = movie[: chunk + 12] + b"\0\0\0\x07" + movie[chunk + 16 :]
+    rows = [(i, bytes(x)) for i, x in enumerate((nested, huge, short, wrong, far, movie))]
+    out = media_boxes.media_columns(spark.createDataFrame(rows, "id int, media binary")).orderBy("id").collect()
+    assert all(r["media_error"] and r["media_n_samples"] is None for r in out[:5]) and out[5]["media_error"] is None
+    twice = media_boxes.media_columns(media_boxes.media_columns(spark.createDataFrame(rows[5:], "id int, media binary")))
+    assert len(set(twice.columns)) == len(twice.columns) == 12
+
+
+def test_fragments():
+    import struct
+
+    box, full = media_boxes.box, media_boxes.full
+    movie = media_boxes.pack(b"a" * 64)
+    head = movie[: movie.index(b"mdat") - 4]
+    mvex = box(b"mvex", full(b"trex", struct.pack(">5I", 1, 1, 64, 5, 0x10000)))
+    size = struct.unpack_from(">I", head, head.index(b"moov") - 4)[0]
+    place = head.index(b"moov") - 4
+    old = head[place + 8 : place + size]
+    start = movie.index(b"a" * 64) + len(mvex)
+    moov = box(b"moov", old.replace(struct.pack(">I", start - len(mvex)), struct.pack(">I", start)), mvex)
+    head = head[:place] + moov + box(b"mdat", b"a" * 64)
+
+    def moof(offset):
+        trun = full(b"trun", struct.pack(">IiI", 3, offset, 0), flags=0x5)
+        more = full(b"trun", struct.pack(">I", 2), struct.pack(">4I", 7, 0, 2, 0x10000), flags=0x600)
+        return box(b"moof", full(b"mfhd", struct.pack(">I", 1)), box(b"traf", full(b"tfhd", struct.pack(">I", 1), flags=0x20000), trun, more))
+
+    data = b"0123456789abcdefghijklmn"
+    whole = head + moof(len(moof(0)) + 8) + box(b"mdat", data)
+    found = media_boxes.probe(whole)
+    at = whole.index(data)
+    assert found["n_samples"] == 6 and found["keyframes"][1:] == [(at, 5), (at + 15, 7)]
+    assert media_boxes.unpack(whole) == b"a" * 64 + data and found["duration"] == (64 + 5 * 64) / 8000
+    with pytest.raises(ValueError):
+        media_boxes.probe(whole[:-4])
 
 
 def test_containers(spark):
