@@ -1,15 +1,19 @@
 """Operator 9: SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints are 64 majority bits over the XXH64 of a document's 3-word shingles. Distinct fingerprints are compared exactly:
-they are cut into five fields, and any two within the radius of three bits agree on at least two of them, so each of the ten
-pairs of fields deals the fingerprints into groups and every link lies inside a group. A group is ordered by population
-count and cut into tiles; a tile pair whose counts differ by more than the radius is skipped, all others are compared with a
-numpy exclusive-or and bit count. Each group yields a spanning forest of its links, never all its pairs, and the forests'
-union goes to a distributed components step.
+Fingerprints are 64 majority bits over the XXH64 of a document's 3-word shingles. Distinct fingerprints are compared exactly, in
+tiles: a group of fingerprints is ordered by population count and cut into tiles of 512; a tile pair whose counts lie further
+apart than the radius of three bits is skipped, all others are compared with a numpy exclusive-or and bit count.
+
+Tiles over all fingerprints would grow with their square, so they are dealt into groups of some eight tiles first, without
+losing a pair: of four fields of 16 bits at least one agrees within three bits, so each field's first bits, as many as the number
+of fingerprints asks for, deal every fingerprint into four groups; for more of them pairs of five fields (ten groups), then
+triples of six (twenty). A few thousand fingerprints are one group. A group that turns out far larger is dealt again by the
+next finer fields, and what is too large even then is cut into parts whose pairs are tasks of their own. Each task hands
+on a forest over what it found linked, never all pairs, and the forests' union goes to a distributed components step.
 
 Defined results: a null or empty text has fingerprint zero, which links like any other; a text of one or two words has that
 sequence as its only shingle; equal fingerprints are one node; a null id never becomes a component id unless all are null;
-an empty table gives an empty result; other columns pass through `near_duplicates` untouched.
+an empty table gives an empty result; `one_of_each` returns the input's columns untouched.
 """
 
 from __future__ import annotations
@@ -21,17 +25,19 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.llm import shingle_groups
-from girder.llm.common import bounded_batches, holding, stash
+from girder.llm.common import bounded_batches, holding, spread_join, stash
 from girder.llm.components import components
 
 RADIUS = 3
 SHINGLE = 3
 TILE = 512
-FIELDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width of each field
+GROUP = 8 * TILE  # fingerprints of a group that is aimed at
+SPLIT = 8 * GROUP  # and at most, before a group is dealt again or cut
+LEVELS = ((4, 1), (5, 2), (6, 3))  # fields, and how many of them agree at least within three bits
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -64,76 +70,148 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[:, None] ^ b[None, :]) <= RADIUS
 
 
-def forest(values: np.ndarray, tile: int = TILE) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among distinct fingerprints, by breadth-first tile comparisons.
-
-    Reached fingerprints are compared with those not yet reached, tile by tile, and tiles whose population counts lie
-    further away than the radius are skipped; so each pair is compared once at most.
-    """
-    if len(values) == 2:
-        return [(0, 1)] if int(values[0] ^ values[1]).bit_count() <= RADIUS else []
-    count = np.bitwise_count(values).astype(np.int16)
-    order = np.argsort(count, kind="stable")
-    left, edges, front = order, [], np.empty(0, order.dtype)
-    while len(left) or len(front):
-        if not len(front):
-            front, left = left[:1], left[1:]
-        nearest = np.full(len(left), -1, order.dtype)
-        for f in range(0, len(front), tile):
-            some = front[f : f + tile]
-            low, high = count[some].min() - RADIUS, count[some].max() + RADIUS
-            a, b = np.searchsorted(count[left], (low, high + 1))
-            for t in range(a, b, tile):
-                block = left[t : min(t + tile, b)]
-                hit = _near(values[some], values[block])
-                found = np.flatnonzero(hit.any(0))
-                nearest[t + found] = some[hit[:, found].argmax(0)]
-        reached = nearest >= 0
-        edges += zip(nearest[reached].tolist(), left[reached].tolist(), strict=True)
-        front, left = left[reached], left[~reached]
-    return edges
+def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the links a-b: equal in a component, its least place."""
+    while True:
+        low = np.minimum(labels[a], labels[b])
+        if (labels[a] == low).all() and (labels[b] == low).all():
+            return labels
+        np.minimum.at(labels, labels[a], low)
+        np.minimum.at(labels, labels[b], low)
+        labels = labels[labels]
+
+
+def forest(left: np.ndarray, right: np.ndarray | None = None, tile: int = TILE, counts: dict[str, int] | None = None) -> list[tuple[int, int]]:
+    """(place, least place it is linked to, step by step) over distinct fingerprints, by tiles; with `right` only links
+    between the two sides are looked for, whose places follow those of `left`. `counts` gets the tile pairs compared and skipped."""
+    sides = []
+    for values, base in ((left, 0), *(((right, len(left)),) if right is not None else ())):
+        pops = np.bitwise_count(values).astype(np.int64)
+        order = np.argsort(pops, kind="stable")
+        sides.append([(values[o], o + base, pops[o[0]], pops[o[-1]]) for o in (order[t : t + tile] for t in range(0, len(order), tile))])
+    labels = np.arange(len(left) + (0 if right is None else len(right)))
+    compared = skipped = held = 0
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, (x, at_x, low_x, high_x) in enumerate(sides[0]):
+        others = sides[0][i:] if right is None else sides[1]
+        for y, at_y, low_y, high_y in others:
+            if low_y - high_x > RADIUS or low_x - high_y > RADIUS:
+                skipped += 1
+                continue
+            compared += 1
+            a, b = np.nonzero(_near(x, y))
+            found.append((at_x[a], at_y[b]))
+            held += len(a)
+            if held > 1 << 20:
+                labels = joined(labels, *map(np.concatenate, zip(*found, strict=True)))
+                found, held = [], 0
+    if found:
+        labels = joined(labels, *map(np.concatenate, zip(*found, strict=True)))
+    if counts is not None:
+        counts["compared"] = counts.get("compared", 0) + compared
+        counts["skipped"] = counts.get("skipped", 0) + skipped
+    own = np.flatnonzero(labels != np.arange(len(labels)))
+    return list(zip(own.tolist(), labels[own].tolist(), strict=True))
+
+
+def _grouped(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows sorted by key, as (key, fp, side) of whole groups; a group may run over several batches."""
+    held = tuple(np.empty(0, t) for t in (np.int64, np.uint64, bool))
+    for part in parts:
+        side = part["side"].to_numpy(bool) if "side" in part else np.zeros(len(part), bool)
+        new = (part["key"].to_numpy(np.int64), part["fp"].to_numpy(np.int64).view(np.uint64), side)
+        held = tuple(map(np.concatenate, zip(held, new, strict=True)))
+        done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if done:
+            yield tuple(x[:done] for x in held)
+            held = tuple(x[done:] for x in held)
+    if len(held[0]):
+        yield held
 
 
 def _links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key: the links of each group; a group may run over several batches."""
-
-    def edges(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+    """The links of each group."""
+    for key, fp, _ in _grouped(parts):
         cuts = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.r_[0, cuts], np.r_[cuts, len(key)]
         size = ends - starts
         two = starts[size == 2]
-        x, y = fp[two], fp[two + 1]
-        near = np.bitwise_count(x ^ y) <= RADIUS
-        out_a, out_b = [x[near]], [y[near]]
+        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS
+        out = [(fp[two][near], fp[two + 1][near])]
         for s, e in zip(starts[size > 2], ends[size > 2], strict=True):
             pairs = np.array(forest(fp[s:e]), np.int64).reshape(-1, 2).T
-            out_a.append(fp[s:e][pairs[0]])
-            out_b.append(fp[s:e][pairs[1]])
-        return pd.DataFrame({"a": np.concatenate(out_a).view(np.int64), "b": np.concatenate(out_b).view(np.int64)})
+            out.append((fp[s:e][pairs[1]], fp[s:e][pairs[0]]))
+        a, b = map(np.concatenate, zip(*out, strict=True))
+        yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
-    for part in parts:
-        keys = np.r_[keys, part["key"].to_numpy(np.int64)]
-        fps = np.r_[fps, part["fp"].to_numpy(np.int64).view(np.uint64)]
-        done = np.searchsorted(keys, keys[-1]) if len(keys) else 0
-        if done:
-            yield edges(keys[:done], fps[:done])
-            keys, fps = keys[done:], fps[done:]
-    if len(keys):
-        yield edges(keys, fps)
+
+def _crossed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links between the two sides of each group, inside the one side where there is no other."""
+    for key, fp, side in _grouped(parts):
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
+            one, two = fp[s:e][~side[s:e]], fp[s:e][side[s:e]]
+            pairs = np.array(forest(one, two if len(two) else None), np.int64).reshape(-1, 2).T
+            every = np.concatenate((one, two))
+            yield pd.DataFrame({"a": every[pairs[1]].view(np.int64), "b": every[pairs[0]].view(np.int64)})
+
+
+def dealt(nodes: DataFrame, level: int, bits: int, home: Column | None = None) -> DataFrame:
+    """(fp, key): each fingerprint in its groups by `bits` bits of the fields of a level."""
+    fields, agree = LEVELS[level]
+    edges = [64 * k // fields for k in range(fields + 1)]
+    each = -(-bits // agree)
+    part = [F.shiftrightunsigned("fp", b - min(each, b - a)).bitwiseAND(F.lit((1 << min(each, b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
+    keys = [F.xxhash64(F.lit(64 * level + t), *(part[i] for i in some), *(() if home is None else (home,))) for t, some in enumerate(combinations(range(fields), agree))]
+    return nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
+
+
+def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def links(nodes: DataFrame, group: int = GROUP, split: int = SPLIT) -> DataFrame:
+    """Distinct fingerprints (fp) to links (a, b) that keep together what pairs within the radius do."""
+    n = nodes.count()
+    bits = max(0, (max(n, 1) - 1).bit_length() - group.bit_length() + 1)
+    level = 0 if bits <= 16 else 1 if bits <= 24 else 2
+    if not bits:
+        return nodes.select("fp", F.lit(0).cast("long").alias("key")).coalesce(1).mapInPandas(_links, "a long, b long")
+    out, rows = [], dealt(nodes, level, min(bits, 30))
+    while True:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split)
+        big = stash(sizes.select(F.col("key").alias("big"), "n"))
+        if not big.limit(1).count():
+            out.append(_sorted(rows, "key").mapInPandas(_links, "a long, b long"))
+            break
+        on = F.col("key") == F.col("big")
+        out.append(_sorted(rows.join(big, on, "left_anti"), "key").mapInPandas(_links, "a long, b long"))
+        rest = rows.join(big, on).select("fp", "key", "n")
+        if level == len(LEVELS) - 1:
+            out.append(_parted(rest, group))
+            break
+        level += 1
+        rows = dealt(stash(rest.select("fp", "key")), level, 30 if level == 2 else 24, F.col("key"))
+    edges = out[0]
+    for more in out[1:]:
+        edges = edges.unionByName(more)
+    return edges
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) to a forest of their links (a, b)."""
-    field = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in FIELDS]
-    keys = [F.lit(t << 26) + F.shiftleft(field[i], 13) + field[j] for t, (i, j) in enumerate(combinations(range(len(FIELDS)), 2))]
-    dealt = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(_links, "a long, b long")
+def _parted(rest: DataFrame, group: int) -> DataFrame:
+    """Links of groups that no finer fields part: each is cut into n / group parts, and every two parts are a task."""
+    parts = F.ceil(F.col("n") / group).cast("int")
+    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    pair = rest.select("fp", "key", parts.alias("parts"), own.alias("own")).withColumn("other", other)
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    tiles = pair.select("fp", F.xxhash64("key", low, high).alias("key"), (F.col("own") > F.col("other")).alias("side"))
+    return _sorted(tiles, "key").select("key", "fp", "side").mapInPandas(_crossed, "a long, b long")
 
 
 def placed(marked: DataFrame) -> DataFrame:
     """(fp, root): the group of each distinct fingerprint, by its least member."""
-    nodes = marked.select("fp").distinct()
+    nodes = stash(marked.select("fp").distinct())
     roots = stash(components(links(nodes)))
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -141,9 +219,10 @@ def placed(marked: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id among all documents whose fingerprints are linked, step by step."""
     marked = stash(fingerprints(documents))
-    groups = stash(placed(marked))
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(groups.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    groups = stash(placed(marked).join(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp"))
+    least = stash(groups.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = stash(spread_join(groups.select("fp", "root"), least, "root").select("fp", "component_id"))
+    return spread_join(marked, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
@@ -153,11 +232,12 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """
     keyed = bounded_batches(documents).withColumn("__k", F.xxhash64("doc_id", "text"))
     marked = shingle_groups.marked(keyed)
-    best = marked.drop("bands").join(stash(shingle_groups.placed(keyed, marked)), "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k")).alias("best"))
+    named = spread_join(marked.drop("bands"), stash(shingle_groups.placed(keyed, marked)), "node")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k")).alias("best"))
     kept = keyed.join(best.select(F.col("best.__k").alias("__best")).distinct(), F.col("__k") == F.col("__best"))
-    others = [c for c in documents.columns if c != "text"]
-    first = Window.partitionBy("__k").orderBy(*others)
-    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*documents.columns)
+    # rows that agree in id and text: the one whose other columns have the least hash
+    one = kept.groupBy("__k").agg(F.min_by(F.struct(*documents.columns), F.xxhash64(*(c for c, t in documents.dtypes if "map<" not in t))).alias("__row"))
+    return one.select(*(F.col("__row")[c].alias(c) for c in documents.columns))
 
 
 def digests(documents: DataFrame) -> DataFrame:

@@ -626,8 +626,28 @@ def test_links_are_exact(spark):
         groups[find(f)].add(roots.get(s, s))
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
     values = np.array(fps, np.uint64)
-    edges = simhash_tiles.forest(values, tile=7)
-    assert len(edges) == len(fps) - len(groups) and all((fps[a] ^ fps[b]).bit_count() <= 3 for a, b in edges)
+    counts = {}
+    edges = simhash_tiles.forest(values, tile=7, counts=counts)
+    assert len(edges) == len(fps) - len(groups) and all(find(fps[a]) == find(fps[b]) for a, b in edges)
+    tiles = -(-len(fps) // 7)
+    assert counts["compared"] + counts["skipped"] == tiles * (tiles + 1) // 2 and min(counts.values()) > tiles
+
+
+@pytest.mark.parametrize("group, split", [(64, 4096), (64, 20), (8, 4)])
+def test_links_by_every_way_of_dealing(spark, group, split):
+    """Small groups, groups that are dealt again, and groups that are cut into parts: the components of all pairs."""
+    rnd = random.Random(group + split)
+    seeds = [rnd.getrandbits(64) for _ in range(30)]
+    fps = list({s ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randint(0, 4))) & (1 << 64) - 1 for s in seeds for _ in range(40)})
+    fps += [x for x in {(seeds[0] >> 12 << 12) | k for k in range(0, 4096, 5)} if x not in set(fps)]  # alike in all upper fields
+    values = np.array(fps, np.uint64)
+    want = np.arange(len(fps))
+    a, b = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3)
+    want = simhash_tiles.joined(want, a, b)
+    nodes = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp long")
+    roots = {r["node"]: r["root"] for r in components(simhash_tiles.links(nodes, group, split)).collect()}
+    got = [roots.get(x, x) for x in values.view(np.int64).tolist()]
+    assert len(set(got)) == len(set(want.tolist())) == len(set(zip(got, want.tolist())))
 
 
 def test_components_of_long_paths(spark):
@@ -636,6 +656,15 @@ def test_components_of_long_paths(spark):
     assert set(got.values()) == {0, 1000} and len(got) == 304
 
 
+def test_joins_with_hot_keys(spark, monkeypatch):
+    from girder.llm import common
+
+    monkeypatch.setattr(common, "HOT", 50)
+    big = spark.createDataFrame([(i, 0 if i % 3 else i % 7) for i in range(1000)], "i long, k long")
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k long, v string")
+    assert bag(map(tuple, common.spread_join(big, small, "k").select("i", "k", "v").collect())) == bag(map(tuple, big.join(small, "k").select("i", "k", "v").collect()))
+
+
 # -- 10 ----------------------------------------------------------------------------------------------------------------
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from girder.llm import simhash_tiles
 from girder.llm.common import stash
@@ -61,3 +63,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert pairs > 40
     kept = {r["doc_id"] for r in simhash_tiles.one_of_each(docs).collect()}
     assert kept == {i for i in root if find(i) == i}
+
+
+def test_large_groups_in_parts(spark, monkeypatch):
+    """Candidate groups cut into parts give the links of whole ones: a chain of neighbours, like texts, and strangers among them."""
+    from girder.llm import shingle_groups
+
+    monkeypatch.setattr(shingle_groups, "PART", 7)
+    texts = [" ".join(f"w{j}" for j in range(4 * i, 4 * i + 120)) for i in range(60)]  # a chain: each is like its neighbours alone
+    texts += [" ".join(f"v{j}" if j != 3 * i else f"x{i}" for j in range(100)) for i in range(30)]
+    texts += [" ".join(f"v{j}" if j % 9 else f"y{i}-{j}" for j in range(100)) for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("__k", F.col("doc_id"))
+    rows = shingle_groups.marked(docs)
+    whole = {r["node"]: r["root"] for r in shingle_groups.placed(docs, rows).collect()}
+    parts = {r["node"]: r["root"] for r in shingle_groups.placed(docs, rows, 5).collect()}
+    assert len(set(whole.values())) == len(set(parts.values())) == len({(whole[n], parts[n]) for n in whole}) < 60
