@@ -1,7 +1,7 @@
 """Operator 10: token ids in coded files.
 
 Texts are encoded with the tokenizers library, an end id follows each document, and the ids are written in ascending order of
-document ids: the documents are range-partitioned, each partition's ids are cut into frames of whole documents, and a frame
+document ids: the documents are range-partitioned (into no fewer parts than the input has splits), each partition's ids are cut into frames of whole documents, and a frame
 (see `id_coder`) holds blocks that are reset and checksummed on their own. A file is a Parquet part of frames with a table of
 their documents, so Spark's writer commits it and any store can hold it. Reading decodes frames independently; the place of a
 document follows from the frames' totals, summed over partitions and then within them.
@@ -88,6 +88,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def partitions(documents: DataFrame) -> int:
+    """As many as the session's shuffles have, or as the input's splits, whose number grows with the input."""
+    splits = documents.select(F.spark_partition_id().alias("p")).distinct().count()
+    return max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), splits)
+
+
 def write(documents: DataFrame, path: str | None = None) -> DataFrame:
     """The files of the corpus: frames in ascending order (part, seq), written to the shared folder and opened again."""
 
@@ -121,8 +127,7 @@ def write(documents: DataFrame, path: str | None = None) -> DataFrame:
         if ids:
             yield frame()
 
-    spark = documents.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(documents)
     rows = bounded_batches(documents).select("doc_id", text_or_empty().alias("text"))
     key = F.xxhash64("text")  # keys are sampled on the driver, so they hold no texts
     return stash(rows.repartitionByRange(n, F.col("doc_id"), key).sortWithinPartitions("doc_id", key, "text").mapInPandas(frames, FILE))

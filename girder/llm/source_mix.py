@@ -25,6 +25,32 @@ CAP = 3  # no source or document is taken more often
 SALT = 64  # hash buckets in which a source's documents of one binary order of size are kept
 
 
+#: DuckDB SQL for `taken` over the table documents, with the parameters above.
+SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source),
+f AS (SELECT *, 3 * source_size / weight AS ratio FROM s),
+c AS (SELECT l.ratio, coalesce(sum(3 * g.source_size) FILTER (g.ratio <= l.ratio), 0) AS filled, coalesce(sum(g.weight) FILTER (g.ratio > l.ratio), 0) AS open_weight
+  FROM (SELECT ratio FROM f UNION SELECT -1.0) AS l, f AS g GROUP BY l.ratio),
+b AS (SELECT arg_min(((SELECT sum(source_size) FROM s) - filled)::DOUBLE / open_weight, ratio) AS share FROM c
+  WHERE open_weight > 0 AND ((SELECT sum(source_size) FROM s) - filled)::DOUBLE / open_weight < (SELECT min(ratio) FROM f WHERE f.ratio > c.ratio)),
+t AS (SELECT source, source_size, least(weight * coalesce((SELECT share FROM b), 1e300), (3 * source_size)::DOUBLE) AS target FROM s),
+k AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+    ((md5_number_lower(coalesce(d.source, '') || '/7') % 1073741824)::DOUBLE / 1073741824.0) AS shift,
+    length(bin(size)) - 1 AS b, (md5_number_lower(doc_id::VARCHAR || '/7') % 64)::INT AS salt
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY 4 * b + (((size << 2) >> b) & 3), salt, size, doc_id) AS n FROM k WHERE size > 0)
+SELECT doc_id, size, source_size, target, (size * least(3, floor(n * rate + shift) - floor((n - 1) * rate + shift)))::BIGINT AS taken FROM r
+UNION ALL SELECT doc_id, size, source_size, target, 0 FROM k WHERE size = 0
+"""
+
+
+def lower_md5(text: Column) -> Column:
+    """The lower 32 bits of an MD5's lower half, read as a little-endian number."""
+    digits = F.md5(text.cast("binary"))
+    return F.conv(F.concat(*(F.substring(digits, 17 + 2 * k, 2) for k in (3, 2, 1, 0))), 16, 10).cast("long")
+
+
 def n_words(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -61,7 +87,9 @@ def drawn(sizes: DataFrame, seed: int = 7, salt: int = SALT) -> DataFrame:
     """`sizes` (source, size, __id and any more) with source_size, target and copies."""
     table = targets(sizes)
     same = F.col("__s").eqNullSafe(F.col("source"))
-    with_rate = sizes.withColumn("__order", F.when(F.col("size") > 0, (F.log2(F.col("size").cast("double")) * 4).cast("int")).otherwise(-1)).withColumn("__salt", F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(salt)).cast("int"))
+    # quarters of the binary order of size
+    order = F.expr("CASE WHEN size > 0 THEN 4 * (length(bin(size)) - 1) + ((shiftleft(size, 2) >> (length(bin(size)) - 1)) & 3) ELSE -1 END").cast("int")
+    with_rate = sizes.withColumn("__order", order).withColumn("__salt", F.pmod(lower_md5(F.concat_ws("/", F.col("__id").cast("string"), F.lit(str(seed)))), F.lit(salt)).cast("int"))
     blocks = with_rate.groupBy("source", "__order", "__salt").agg(F.count("*").alias("__n"))
     walk = Window.partitionBy("source").orderBy("__order", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(F.col("source").alias("__s"), F.col("__order").alias("__o"), F.col("__salt").alias("__t"), F.coalesce(F.sum(F.when(F.col("__order") >= 0, F.col("__n"))).over(walk), F.lit(0)).alias("__before"))
@@ -69,7 +97,7 @@ def drawn(sizes: DataFrame, seed: int = 7, salt: int = SALT) -> DataFrame:
     inside = Window.partitionBy("source", "__order", "__salt").orderBy("size", "__id").rowsBetween(Window.unboundedPreceding, 0)
     ranked = with_rate.withColumn("__k", F.row_number().over(inside)).join(starts, same & (F.col("__order") == F.col("__o")) & (F.col("__salt") == F.col("__t")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    offset = F.pmod(lower_md5(F.concat_ws("/", F.coalesce("source", F.lit("")), F.lit(str(seed)))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     upto = lambda k: F.floor(k * rate + offset)
     k = F.col("__before") + F.col("__k")
     copies = F.when(F.col("size") > 0, F.least(F.lit(CAP), upto(k) - upto(k - 1))).otherwise(0).cast("int")

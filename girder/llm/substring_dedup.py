@@ -322,3 +322,16 @@ def digests(documents: DataFrame) -> DataFrame:
     by_row = spans.groupBy("k").agg(F.collect_set(F.struct("first", "n", "whole", "a", "b")).alias("spans"))
     joined = rows.select("doc_id", "k", "text").join(by_row, "k", "left").select("doc_id", "text", "spans")
     return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+#: DuckDB SQL for `digests` over the table documents.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+y AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS piece FROM x),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY piece) AS n FROM y) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM again),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
