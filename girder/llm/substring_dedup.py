@@ -259,7 +259,7 @@ def searched(sequences: DataFrame) -> DataFrame:
 
 
 def intervals(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): the documents with their key k, and (k, first, n, whole, a, b) of the repeated windows."""
+    """(rows, spans): the documents with their key k, and (k, first, n, whole, parts) of the repeated windows; parts are (a, b)."""
     rows = bounded_batches(documents).withColumn("text", text_or_empty()).withColumn("k", F.xxhash64("doc_id", "text"))
     shared = shared_pieces(rows)
     raw = sent(rows, shared)
@@ -268,16 +268,16 @@ def intervals(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         raw = stash(raw)
     sequences = raw.filter("not hot").groupBy("hot", "shard", "whole", "n").agg(F.max("weight").alias("weight"), F.first("words").alias("words"))
     cold = shared.filter(F.col("total") <= HOT).withColumnRenamed("key", "shard")
+    parts = F.array(F.struct("a", "b")).alias("parts")
     if not any_hot:
-        return rows, cold.join(searched(sequences).drop("hot"), ["shard", "whole"]).select("k", "first", "n", "whole", "a", "b")
+        return rows, cold.join(searched(sequences).drop("hot"), ["shard", "whole"]).select("k", "first", "n", "whole", parts)
     found = stash(searched(sequences.unionByName(hot_windows(raw))))
-    spans = cold.join(found.filter("not hot").drop("hot"), ["shard", "whole"]).select("k", "first", "n", "whole", "a", "b")
+    spans = cold.join(found.filter("not hot").drop("hot"), ["shard", "whole"]).select("k", "first", "n", "whole", parts)
     windows = found.filter("hot").select("shard", F.col("whole").alias("sign"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).distinct()
     holders = raw.filter("hot").withColumn("salt", F.pmod("whole", F.lit(SALTS)).cast("int")).join(windows, ["shard", "sign", "salt"])
-    offsets = stash(holders.groupBy(F.struct("key", "whole").alias("piece")).agg(F.collect_set("off").alias("offs")))
+    offsets = stash(holders.groupBy(F.struct("key", "whole").alias("piece")).agg(F.array_sort(F.collect_set(F.struct(F.col("off").alias("a"), (F.col("off") + 1).alias("b")))).alias("parts")))
     warm = shared.filter(F.col("total") > HOT).withColumn("piece", F.struct("key", "whole"))
-    again = spread_join(warm, offsets, "piece").select("k", "first", "n", "whole", F.explode("offs").alias("a")).withColumn("b", F.col("a") + 1)
-    return rows, spans.unionByName(again)
+    return rows, spans.unionByName(spread_join(warm, offsets, "piece").select("k", "first", "n", "whole", "parts"))
 
 
 def _removed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,9 +294,9 @@ def _removed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     first = x["first"]
                     if first not in good:
                         good[first] = holds(h, first, x["n"], x["whole"])
-                    if good[first]:
-                        cover[first + x["a"]] += 1
-                        cover[min(first + x["b"] - 1 + WINDOW, len(words))] -= 1
+                    for run in x["parts"] if good[first] else ():
+                        cover[first + run["a"]] += 1
+                        cover[min(first + run["b"] - 1 + WINDOW, len(words))] -= 1
                 keep = np.cumsum(cover[:-1]) <= 0
                 kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 gone = len(words) - len(kept)
@@ -308,7 +308,7 @@ def _removed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space, as UTF-8 bytes)."""
     rows, spans = intervals(documents)
-    by_row = spans.groupBy("k").agg(F.collect_set(F.struct("first", "n", "whole", "a", "b")).alias("spans"))
+    by_row = spans.groupBy("k").agg(F.collect_set(F.struct("first", "n", "whole", "parts")).alias("spans"))
     joined = rows.select("doc_id", "k", "text").join(by_row, "k", "left").select("doc_id", "text", "spans")
     return joined.mapInPandas(_removed, "doc_id long, n_words long, n_removed long, kept binary")
 
@@ -319,7 +319,7 @@ def digests(documents: DataFrame) -> DataFrame:
             yield part.assign(kept_sha256=[hashlib.sha256(x).hexdigest() for x in part.pop("kept")])
 
     rows, spans = intervals(documents)
-    by_row = spans.groupBy("k").agg(F.collect_set(F.struct("first", "n", "whole", "a", "b")).alias("spans"))
+    by_row = spans.groupBy("k").agg(F.collect_set(F.struct("first", "n", "whole", "parts")).alias("spans"))
     joined = rows.select("doc_id", "k", "text").join(by_row, "k", "left").select("doc_id", "text", "spans")
     return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
