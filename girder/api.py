@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from girder.lineage import settled
 from girder.operators import families as fam
 from girder.operators import graph as G
 from girder.operators import infer as I
@@ -22,7 +23,8 @@ NONE = "kind string, rule_name string, message string, file string, subject stri
 
 @dataclass
 class Facts:
-    """files (path), paths (path), observed (path, specifier, target_path, target_kind, target_package), bindings, members, exports."""
+    """files (path), paths (path), observed (path, specifier, target_path, target_kind, target_package), bindings, members, exports.
+    An import that resolved to nothing has a null target_path."""
 
     files: DataFrame
     paths: DataFrame
@@ -33,7 +35,18 @@ class Facts:
 
 
 def _graph(facts: Facts) -> tuple[DataFrame, DataFrame]:
-    return facts.files.select(F.col("path").alias("node")), G.edges_of(facts.files, facts.observed.select("path", "target_path", "target_kind"))
+    """Nodes, and edges that are settled once for all the graph's rules."""
+    return facts.files.select(F.col("path").alias("node")), settled(G.edges_of(facts.files, facts.observed.select("path", "target_path", "target_kind")))
+
+
+def unresolved(facts: Facts, policy: Policy) -> DataFrame:
+    """(path, specifier): imports without a target, of files that an import rule selects; the others are never resolved."""
+    lost = facts.observed.filter("target_path is null").select("path", "specifier")
+    if not policy.imports or not policy.report_unresolved:
+        return lost.limit(0)
+    lost = lost.filter(~any_match(G.listed(policy.ignore_unresolved), F.col("specifier")))
+    chosen = fam.rules_selecting(lost.select("path").distinct(), rule_table(facts.files.sparkSession, policy.imports)).select("path").distinct()
+    return lost.join(chosen, "path", "left_semi")
 
 
 def findings(facts: Facts, policy: Policy) -> DataFrame:
@@ -41,9 +54,9 @@ def findings(facts: Facts, policy: Policy) -> DataFrame:
     spark, out = facts.files.sparkSession, []
     table = lambda rules: rule_table(spark, rules)
     if policy.imports:
-        out.append(fam.import_violations(facts.observed, table(policy.imports)))
+        out.append(fam.import_violations(facts.observed.filter("target_path is not null"), table(policy.imports)))
     if policy.exports and facts.bindings is not None:
-        out.append(fam.export_violations(facts.bindings, table(policy.exports)))
+        out.append(fam.export_violations(facts.bindings.filter("target_path is not null"), table(policy.exports)))
     if policy.members and facts.members is not None:
         out.append(fam.member_violations(facts.members, table(policy.members)))
     if policy.surface and facts.exports is not None:
@@ -90,7 +103,7 @@ def counts(facts: Facts, policy: Policy) -> DataFrame:
 
 
 def check(facts: Facts, policy: Policy, baseline: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Violations with their baselined flag, stale entries, and limits that do not hold. `failure` has one row, in the order
+    """Violations with their baselined flag, unresolved imports, stale entries, and limits that do not hold. `failure` has one row, in the order
     stale, shortfall, overrun, excess, violations; its reason is null where the check passes."""
     spark = facts.files.sparkSession
     base = baseline if baseline is not None else spark.createDataFrame([], "entry string")
@@ -105,7 +118,7 @@ def check(facts: Facts, policy: Policy, baseline: DataFrame | None = None) -> di
     n = lambda df, name: df.agg(F.count("*").alias(name))
     sums = n(stale, "a").crossJoin(n(short, "b")).crossJoin(n(over, "c")).crossJoin(n(excess, "d")).crossJoin(n(found.filter("not baselined"), "e"))
     reason = F.when(F.col("a") > 0, "stale").when(F.col("b") > 0, "shortfall").when(F.col("c") > 0, "overrun").when(F.col("d") > 0, "excess").when(F.col("e") > 0, "violations")
-    return {"violations": found, "stale": stale, "shortfalls": short, "overruns": over, "excesses": excess, "failure": sums.select(reason.alias("reason"))}
+    return {"violations": found, "unresolved": unresolved(facts, policy), "stale": stale, "shortfalls": short, "overruns": over, "excesses": excess, "failure": sums.select(reason.alias("reason"))}
 
 
 def write_baseline(facts: Facts, policy: Policy, path: str) -> DataFrame:

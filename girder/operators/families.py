@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from girder.functions.text import base_of, basename, dirname, resolved
 from girder.plans.patterns import any_match, captures, reportable
 
+MOST_LITERAL = 500  # patterns of one rule table that are written into a plan
 VIOLATION = ("kind", "rule_name", "message", "file", "subject")
 
 
@@ -42,10 +43,20 @@ def matched(files: DataFrame, rules: DataFrame, condition: Column) -> DataFrame:
 
 def rules_selecting(files: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """Files with each rule that selects them and its captures. A file that no rule selects is gone before any facts are
-    joined, so its imports are never resolved."""
-    picked = any_match(F.col("from_"), F.col(path)) & ~any_match(F.col("from_not"), F.col(path))
+    joined, so its imports are never resolved.
+
+    Rules come from the driver and are few; up to MOST_LITERAL patterns are written into the plan, where each is compiled once a
+    task. As values of a column they would be compiled again for nearly every row.
+    """
     caught = captures(F.col("from_"), F.col("groups"), F.col("from_not"), F.col(path))
-    return matched(files, rules, picked).withColumn("captures", F.explode(F.array(caught)))
+    listed = rules.select("ord", "from_", "from_not").collect()
+    if sum(len(r["from_"]) + len(r["from_not"]) for r in listed) <= MOST_LITERAL:
+        found = lambda patterns: reduce(Column.__or__, (F.col(path).rlike(p) for p in patterns), F.lit(False))
+        chosen = F.array_compact(F.array(*(F.when(found(r["from_"]) & ~found(r["from_not"]), F.lit(r["ord"])) for r in listed)))
+        selected = files.withColumn("ord", F.explode(chosen)).join(F.broadcast(rules), "ord")
+    else:
+        selected = matched(files, rules, any_match(F.col("from_"), F.col(path)) & ~any_match(F.col("from_not"), F.col(path)))
+    return selected.withColumn("captures", F.explode(F.array(caught)))
 
 
 def import_violations(edges: DataFrame, rules: DataFrame) -> DataFrame:

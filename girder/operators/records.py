@@ -110,35 +110,46 @@ def markers(files: DataFrame, name: str) -> DataFrame:
 # -- records -----------------------------------------------------------------------------------------------------------
 
 
+REVOKED = "struct<at:string,by:string,reason:string>"
+ATTESTED = f"array<struct<phase:string,by:string,at:string,reason:string,evidence:string,revoked:{REVOKED}>>"
+
+
 def live_attestations() -> Column:
     return F.filter("attested", lambda a: a["revoked"].isNull())
 
 
-def attested(records: DataFrame, phase: str, by: str, at: str) -> DataFrame:
-    """An attestation is added once; a live one of the same phase stays as it is."""
-    new = F.array(F.struct(F.lit(phase).alias("phase"), F.lit(by).alias("by"), F.lit(at).alias("at"), F.lit(None).cast("string").alias("revoked")))
-    has = F.exists(live_attestations(), lambda a: a["phase"] == phase)
-    return records.withColumn("attested", F.when(has, F.col("attested")).otherwise(F.concat("attested", new)))
+def attested(records: DataFrame, positions: DataFrame, phases: DataFrame, phase: str, by: str, at: str, reason: str, evidence: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, refused): the step is added, with its reason and evidence, for the sectors of `positions` (sector, phase_at)
+    that stand at the phase. Refused with a word why: a phase that is not attested, and sectors that stand elsewhere."""
+    found = phases.filter(F.col("phase") == phase).select("ord", F.col("attested").alias("asks"))
+    row = found.first()
+    at_phase = positions.withColumn("refused", F.when(F.lit(row is None), "no such phase").when(F.lit(row is not None and not row["asks"]), "not an attested phase").when(F.col("phase_at") != (row["ord"] if row else -1), "stands elsewhere"))
+    new = F.struct(F.lit(phase).alias("phase"), F.lit(by).alias("by"), F.lit(at).alias("at"), F.lit(reason).alias("reason"), F.lit(evidence).cast("string").alias("evidence"), F.lit(None).cast(REVOKED).alias("revoked"))
+    granted = at_phase.filter("refused is null").select("sector", F.lit(True).alias("__granted"))
+    out = records.join(granted, "sector", "left").withColumn("attested", F.when(F.col("__granted"), F.concat("attested", F.array(new))).otherwise(F.col("attested")))
+    return out.drop("__granted").select(*records.columns), at_phase.filter("refused is not null").select("sector", "refused")
 
 
-def revoked(records: DataFrame, phases: list[str], at: str) -> DataFrame:
-    """Live attestations of the phases that a sector was sent back across are revoked."""
-    mark = lambda a: F.when(a["revoked"].isNull() & a["phase"].isin(*phases), F.struct(a["phase"].alias("phase"), a["by"].alias("by"), a["at"].alias("at"), F.lit(at).alias("revoked"))).otherwise(a)
-    return records.withColumn("attested", F.transform("attested", mark))
+def revoked(records: DataFrame, phases: list[str], at: str, by: str, reason: str) -> DataFrame:
+    """Live attestations of the phases that a sector was sent back across are revoked, with who did it and why."""
+    mark = F.struct(F.lit(at).alias("at"), F.lit(by).alias("by"), F.lit(reason).alias("reason"))
+    return records.withColumn("attested", F.transform("attested", lambda a: F.when(a["revoked"].isNull() & a["phase"].isin(*phases), a.withField("revoked", mark)).otherwise(a)))
 
 
-def noted(records: DataFrame, text: str, by: str, at: str) -> DataFrame:
-    """A note of bounded length; the oldest makes room."""
-    if not 0 < len(text) <= MOST_NOTE:
-        raise ValueError(f"a note has 1 to {MOST_NOTE} characters")
-    every = F.concat("notes", F.array(F.struct(F.lit(text).alias("text"), F.lit(by).alias("by"), F.lit(at).alias("at"))))
-    return records.withColumn("notes", F.slice(every, F.greatest(F.size(every) - MOST_NOTES + 1, F.lit(1)), MOST_NOTES))
+def noted(records: DataFrame, text: str, by: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """(records, refused): a note of bounded length is added; a record that holds MOST_NOTES refuses it and stays as it is."""
+    if len(text) > MOST_NOTE:
+        raise ValueError(f"a note has at most {MOST_NOTE} characters")
+    full = F.size("notes") >= MOST_NOTES
+    note = F.array(F.struct(F.lit(text).alias("text"), F.lit(by).alias("by"), F.lit(at).alias("at")))
+    return records.withColumn("notes", F.when(full, F.col("notes")).otherwise(F.concat("notes", note))), records.filter(full).select("sector")
 
 
-def reached(records: DataFrame, phases: DataFrame) -> DataFrame:
-    """The furthest phase a sector has stood in only advances; phases: sector, phase_at."""
+def reached(records: DataFrame, phases: DataFrame, at: str) -> DataFrame:
+    """The furthest phase a sector has stood in only advances, and `since` with it; phases: sector, phase_at."""
     out = records.join(phases.select("sector", "phase_at"), "sector", "left")
-    return out.withColumn("reached", F.greatest("reached", "phase_at")).drop("phase_at")
+    moved = F.coalesce(F.col("phase_at") > F.coalesce("reached", F.lit(-1)), F.lit(False))
+    return out.withColumns({"reached": F.when(moved, F.col("phase_at")).otherwise(F.col("reached")), "since": F.when(moved, at).otherwise(F.col("since"))}).select(*records.columns)
 
 
 def sent_back(before: DataFrame, after: DataFrame, phases: DataFrame) -> DataFrame:
@@ -168,12 +179,37 @@ def report(states: DataFrame, sectors: DataFrame, holdouts: DataFrame) -> DataFr
     return out.select("objective", "sector", zero("unrecorded").alias("new"), *(zero(c).alias(c) for c in ("stale", "drifted", "ledgered")), F.col("entered").isNotNull().alias("entered"), zero("open").alias("open"))
 
 
-def failures(rows: DataFrame) -> DataFrame:
-    """Reasons in order: new entries, stale holdouts, broken arithmetic, breached values, values that did not measure."""
-    reasons = (("new", "new > 0"), ("stale", "stale > 0"), ("arithmetic", "not holds"), ("breached", "standing = 'breached'"), ("unmeasured", "isnan(value)"))
-    have = set(rows.columns)
-    picked = [F.when(F.coalesce(F.expr(c), F.lit(False)), F.lit(r)) for r, c in reasons if {"new": "new", "stale": "stale", "arithmetic": "holds", "breached": "standing", "unmeasured": "value"}[r] in have]
-    return rows.withColumn("reasons", F.array_compact(F.array(*picked))).filter("size(reasons) > 0")
+#: Why a campaign fails, in the order in which a check names it, with the condition on a campaign's report.
+REASONS = {
+    "drift": "drift > 0",
+    "unreceipted": "unreceipted > 0",
+    "unmeasured": "unmeasured > 0",
+    "stale": "stale > 0",
+    "arithmetic": "not arithmetic",
+    "missing ledger": "missing",
+    "growth": "new > 0 and not missing",
+    "complete": "complete and not missing and on_complete = 'remove'",
+}
+
+
+def campaign_report(rows: DataFrame) -> DataFrame:
+    """One row a campaign from rows of (campaign, objective, sector) with inside (the window), count, entered, new, stale, holds,
+    unmeasured and the campaign's drift, unreceipted and on_complete: what a check reads. A campaign misses a ledger if a sector
+    in its window has none, though its objective has hits there or a ledger elsewhere; it is complete with nothing left."""
+    known = F.max("entered").over(Window.partitionBy("campaign", "objective"))
+    missing = F.col("inside") & ~F.col("entered") & ((F.col("count") > 0) | known)
+    counted = F.when(F.col("inside"), F.col("count")).otherwise(0)
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    sums = rows.withColumn("__missing", missing).groupBy("campaign").agg(
+        F.sum(counted).alias("count"), F.sum("new").alias("new"), F.sum("stale").alias("stale"), F.bool_and("holds").alias("arithmetic"), F.bool_or("__missing").alias("missing"), F.count_if("unmeasured").alias("unmeasured"), first("drift"), first("unreceipted"), first("on_complete")
+    )
+    return sums.withColumn("complete", (F.col("count") == 0) & (F.col("stale") == 0) & (F.col("unmeasured") == 0))
+
+
+def failures(reports: DataFrame) -> DataFrame:
+    """(campaign, reasons): the campaigns that fail, each with its reasons in order."""
+    picked = [F.when(F.coalesce(F.expr(c), F.lit(False)), F.lit(r)) for r, c in REASONS.items()]
+    return reports.select("campaign", F.array_compact(F.array(*picked)).alias("reasons")).filter("size(reasons) > 0")
 
 
 def unrecorded_sectors(hits: DataFrame, ledger: DataFrame, phases: DataFrame) -> DataFrame:
@@ -203,8 +239,8 @@ def chosen_holdouts(states: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Da
 
 
 def clock(records: DataFrame) -> DataFrame:
-    """(sector, sector_clock): the last instant at which something was said about a sector, as text."""
-    said = F.array_max(F.concat(F.transform(live_attestations(), lambda a: a["at"]), F.transform("notes", lambda n: n["at"])))
+    """(sector, sector_clock): the last instant at which a sector advanced, was attested (revoked since or not) or noted, as text."""
+    said = F.array_max(F.concat(F.transform("attested", lambda a: a["at"]), F.transform("notes", lambda n: n["at"])))
     return records.select("sector", F.greatest("since", said).alias("sector_clock"))
 
 

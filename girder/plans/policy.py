@@ -47,6 +47,8 @@ class Policy:
     partial: list[str] = field(default_factory=list)
     unrestricted: list[str] = field(default_factory=list)
     baseline: str | None = None
+    report_unresolved: bool = True
+    ignore_unresolved: list[str] = field(default_factory=list)  # patterns of specifiers
 
     def has_graph_rules(self) -> bool:
         return bool(self.cycles or self.orphans or self.reach)

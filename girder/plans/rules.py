@@ -157,4 +157,6 @@ def rule_table(spark: SparkSession, rules: list) -> DataFrame:
 
 def allowance_table(spark: SparkSession, rules: list[ImportRule]) -> DataFrame:
     rows = [(i, k, a.node, a.kind, a.entry, compiled(r.name, "allow", a.pattern)[0] if a.pattern else None, a.fragment) for i, r in enumerate(rules) for k, a in enumerate(r.allowances)]
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"{len(rows)} allowances; at most {MOST_RULES} are broadcast")
     return F.broadcast(spark.createDataFrame(rows, "ord int, allow_ord int, node string, allow_kind string, entry string, pattern string, fragment string"))

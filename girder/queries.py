@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions import text as ft
-from girder.lineage import settled
 from girder.operators import campaigns as C
+from girder.operators import records as RC
 from girder.operators import detect as D
 from girder.operators import families as fam
 from girder.operators import graph as G
@@ -469,11 +469,11 @@ def detector_truth_table(spark, d):
 
 
 @query(
-    f"""WITH {VCONTENT}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM vcontent), n AS (SELECT path, row, pos, row_number() OVER (PARTITION BY path, row ORDER BY pos) AS k FROM l WHERE length(row) < 60)
+    f"""WITH {VCONTENT}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM vcontent), n AS (SELECT path, row, pos, row_number() OVER (PARTITION BY path, row ORDER BY pos) AS k FROM l)
 SELECT path, (pos - 1)::INT AS pos, CASE WHEN k > 1 THEN row || '~' || k ELSE row END AS unique_key FROM n"""
 )
 def match_ordinals(spark, d):
-    lines = V.contents(spark, d).select("path", F.posexplode(F.split("text", "\n")).alias("pos", "row")).filter(F.length("row") < 60)
+    lines = V.contents(spark, d).select("path", F.posexplode(F.split("text", "\n")).alias("pos", "row"))
     return D.unique_keys(lines, ["path"], "row", ["pos"]).select("path", "pos", "unique_key")
 
 
@@ -534,11 +534,11 @@ def sectors_legacy(spark, d):
 
 
 @query(
-    f"""WITH {VFILES}, roots(root, sector) AS (VALUES ('src', 'all'), ('src/small', 'small'), ('src/small/brand-1', 'b1'), ('src/large/brand-2', 'b2')) SELECT path, arg_max(sector, length(root)) AS sector, arg_max(root, length(root)) AS root FROM vfiles JOIN roots ON path LIKE root || '/%' WHERE id % 3 = 0 GROUP BY path"""
+    f"""WITH {VFILES}, roots(root, sector) AS (VALUES ('src', 'all'), ('src/small', 'small'), ('src/small/brand-1', 'b1'), ('src/large/brand-2', 'b2')) SELECT path, arg_max(sector, length(root)) AS sector, arg_max(root, length(root)) AS root FROM vfiles JOIN roots ON path LIKE root || '/%' GROUP BY path"""
 )
 def sector_of_deleted(spark, d):
     roots = spark.createDataFrame([("src", "all"), ("src/small", "small"), ("src/small/brand-1", "b1"), ("src/large/brand-2", "b2")], "root string, sector string")
-    return C.deepest(V.files(spark, d).filter("id % 3 = 0"), F.broadcast(roots))
+    return C.deepest(V.files(spark, d), F.broadcast(roots))
 
 
 PHASES = [(0, "stop-errors", ["error"], False, False), (1, "agree", [], True, False), (2, "signups", ["signup"], False, False), (3, "open", [], False, True)]
@@ -695,11 +695,11 @@ def ledger_stalled(spark, d):
 
 
 @query(
-    """WITH hits AS (SELECT l_suppkey % 10 AS sector, 'p' || l_partkey AS path, min(l_quantity)::INT AS start_line FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1, 2), hunks AS (SELECT 'p' || p_partkey AS path, p_size AS hunk_start, p_size + 2 AS hunk_end FROM part WHERE p_partkey % 2 = 0), r AS (SELECT sector, h.path AS entry, start_line, CASE WHEN hunk_end < start_line THEN start_line - hunk_end WHEN start_line + 1 < hunk_start THEN hunk_start - start_line - 1 ELSE 0 END AS distance FROM hits h JOIN hunks USING (path))
+    """WITH hits AS (SELECT l_suppkey % 10 AS sector, 'p' || l_partkey AS path, min(l_quantity)::INT AS start_line FROM lineitem GROUP BY 1, 2), hunks AS (SELECT 'p' || p_partkey AS path, p_size AS hunk_start, p_size + 2 AS hunk_end FROM part WHERE p_partkey % 2 = 0), r AS (SELECT sector, h.path AS entry, start_line, CASE WHEN hunk_end < start_line THEN start_line - hunk_end WHEN start_line + 1 < hunk_start THEN hunk_start - start_line - 1 ELSE 0 END AS distance FROM hits h JOIN hunks USING (path))
 SELECT sector, entry, distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY distance, entry) AS rank FROM r) WHERE rank <= 5"""
 )
 def nudge_top5(spark, d):
-    li = V.table(spark, d, "lineitem").filter("l_partkey % 3 = 0")
+    li = V.table(spark, d, "lineitem")
     name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
     hits = li.groupBy((F.col("l_suppkey") % 10).alias("sector"), name("l_partkey").alias("path")).agg(F.min("l_quantity").cast("int").alias("start_line")).withColumns({"entry": F.col("path"), "end_line": F.col("start_line") + 1})
     hunks = V.table(spark, d, "part").filter("p_partkey % 2 = 0").select(name("p_partkey").alias("path"), F.col("p_size").alias("hunk_start"), (F.col("p_size") + 2).alias("hunk_end"))
@@ -707,20 +707,51 @@ def nudge_top5(spark, d):
     return C.nudged(touched, hunks, ["sector"]).select("sector", "entry", "distance", "rank")
 
 
-@query(
-    """SELECT strftime(ts, '%Y-%m-%d') AS commit, count_if(event_type = 'click')::BIGINT AS click, count_if(event_type = 'error')::BIGINT AS error, count_if(event_type = 'view')::BIGINT AS "view" FROM events WHERE event_type IN ('click', 'error', 'view') GROUP BY 1"""
-)
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS commit, " + ", ".join(f"count_if(event_type = '{k}')::BIGINT AS \"{k}\"" for k in KINDS) + " FROM events GROUP BY 1")
 def history_series(spark, d):
-    c = V.table(spark, d, "events").filter("event_type in ('click', 'error', 'view')").groupBy(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("commit"), F.col("event_type").alias("objective")).agg(F.count("*").alias("n"))
-    return C.history(c, ["click", "error", "view"])
+    c = V.table(spark, d, "events").groupBy(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("commit"), F.col("event_type").alias("objective")).agg(F.count("*").alias("n"))
+    return C.history(c, list(KINDS))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT p_brand AS phase, count(*) AS n, max(p_size) AS top FROM part GROUP BY 1), r AS (SELECT * FROM p WHERE phase <> (SELECT max(phase) FROM p)), c AS (SELECT * FROM p WHERE phase <> (SELECT min(phase) FROM p))
+SELECT coalesce(r.phase, c.phase) AS phase, CASE WHEN r.phase IS NULL THEN 'refined' WHEN r.n % 2 = 0 AND c.phase IS NULL THEN 'unreceipted' WHEN r.n % 2 = 0 AND c.n % 3 = 0 AND c.top % 2 = 1 THEN 'changed' WHEN r.n % 2 = 0 AND c.n % 3 = 0 THEN 'unreceipted' WHEN c.n % 3 = 0 THEN 'refined' END AS verdict
+FROM r FULL JOIN c ON r.phase = c.phase WHERE verdict IS NOT NULL"""
+)
 def plan_diff(spark, d):
-    was = [{"id": i, "hash": h, "defined": f, "concessions": 0} for i, h, f in (("a", "1", True), ("b", "2", True), ("c", "3", True), ("open", "9", False))]
-    now = [{"id": i, "hash": h, "defined": f, "concessions": n} for i, h, f, n in (("b", "2", True, 0), ("a", "1", True, 1), ("new", "7", True, 0), ("open", "8", False, 0))]
-    found = C.plan_diff(was, now)
-    return spark.createDataFrame([(k, i, p) for k, v in found.items() for i, p in enumerate(v)], "state string, ord int, phase string")
+    """Brands as phases: the record lacks the last, the plan the first; every third asks something else, some with a receipt."""
+    p = V.table(spark, d, "part").groupBy(F.col("p_brand").alias("phase")).agg(F.count("*").alias("n"), F.max("p_size").alias("top"))
+    low, high = p.agg(F.min("phase"), F.max("phase")).first()
+    rows = p.select("phase", F.col("phase").alias("ord"), F.lit("h").alias("hash"), (F.col("n") % 2 == 0).alias("defined"), F.lit(0).alias("concessions"), "n", "top")
+    now = rows.filter(F.col("phase") != low).withColumns({"hash": F.when(F.col("n") % 3 == 0, "other").otherwise("h"), "concessions": (F.col("top") % 2).cast("int")})
+    return C.plan_diff(rows.filter(F.col("phase") != high).drop("n", "top"), now.drop("n", "top"))
+
+
+@query(
+    """WITH v AS (SELECT event_type AS objective, user_id AS sector, avg(CASE WHEN event_id % 3 = 0 THEN value END) AS initial, avg(CASE WHEN event_id % 3 = 1 THEN value END) AS recorded, avg(CASE WHEN event_id % 3 = 2 THEN value END) AS value FROM events GROUP BY 1, 2)
+SELECT objective, sector, recorded AS "from", value AS "to" FROM v WHERE initial IS NOT NULL AND recorded IS NOT NULL AND value IS NOT NULL AND sector % 2 = 0 AND recorded <> value"""
+)
+def measure_reentry(spark, d):
+    """Records of even sectors were closed and enter their window again: the moves that are conceded."""
+    pick = lambda k: F.avg(F.when(F.col("event_id") % 3 == k, F.col("value")))
+    v = V.table(spark, d, "events").groupBy(F.col("event_type").alias("objective"), F.col("user_id").alias("sector")).agg(pick(0).alias("initial"), pick(1).alias("recorded"), pick(2).alias("value")).na.drop()
+    rows = v.withColumns({"direction": F.lit("down"), "entered": F.lit("t0"), "improved": F.lit(0.0), "closed": F.when(F.col("sector") % 2 == 0, F.col("recorded")), "last_improved": F.lit("t0"), "inside": F.lit(True)})
+    return C.cleared_measure(rows, F.lit(0.5), "t1")[1].select("objective", "sector", "from", "to")
+
+
+@query(
+    """WITH s AS (SELECT event_type AS campaign, user_id AS sector, count_if(value > 90) AS count, count_if(value < 2) AS stale, count_if(value > 120) AS new, user_id % 50 <> 0 AS entered FROM events GROUP BY 1, 2),
+r AS (SELECT campaign, sum(count) AS count, sum(stale) AS stale, sum(new) AS new, bool_or(NOT entered) AS missing FROM s GROUP BY 1)
+SELECT campaign, concat_ws(',', CASE WHEN stale > 0 THEN 'stale' END, CASE WHEN missing THEN 'missing ledger' END, CASE WHEN new > 0 AND NOT missing THEN 'growth' END, CASE WHEN count = 0 AND stale = 0 AND NOT missing THEN 'complete' END) AS reasons FROM r WHERE stale > 0 OR missing OR new > 0 OR count = 0"""
+)
+def campaign_failures(spark, d):
+    value = F.col("value")
+    s = V.table(spark, d, "events").groupBy(F.col("event_type").alias("campaign"), F.col("user_id").alias("sector")).agg(F.count_if(value > 90).alias("count"), F.count_if(value < 2).alias("stale"), F.count_if(value > 120).alias("new"))
+    fixed = {"objective": F.lit("o"), "inside": F.lit(True), "entered": F.col("sector") % 50 != 0, "holds": F.lit(True), "unmeasured": F.lit(False), "drift": F.lit(0), "unreceipted": F.lit(0), "on_complete": F.lit("remove")}
+    return RC.failures(RC.campaign_report(s.withColumns(fixed))).select("campaign", F.array_join("reasons", ",").alias("reasons"))
 
 
 # -- inference ---------------------------------------------------------------------------------------------------------
@@ -761,50 +792,43 @@ def infer_governing_node(spark, d):
 
 
 @query(
-    f"""WITH {VFILES} SELECT path AS file, (p_size - 1)::INT AS line, (id % 80)::INT AS col, 'TS' || (2300 + p_size) AS code, 'Type ' || p_name AS message FROM vfiles WHERE id % 4 = 0"""
+    f"""WITH {VFILES} SELECT path AS file, (p_size - 1)::INT AS line, (id % 80)::INT AS col, 'TS' || (2300 + p_size) AS code, 'Type ' || p_name AS message FROM vfiles"""
 )
 def report_tsc(spark, d):
     line = F.concat("path", F.lit("("), F.col("p_size").cast("string"), F.lit(","), (F.col("id") % 80 + 1).cast("string"), F.lit("): error TS"), (F.col("p_size") + 2300).cast("string"), F.lit(": Type "), "p_name")
-    text = V.files(spark, d).select(F.concat(line, F.lit("\r\nsummary line")).alias("text"), "id").filter("id % 4 = 0")
+    text = V.files(spark, d).select(F.concat(line, F.lit("\r\nsummary line")).alias("text"), "id")
     return R.unique(R.tsc(text))
 
 
-@query(f"""WITH {VFILES} SELECT path AS file, (p_size - 1)::INT AS line, 2 AS col, 'no-' || (p_size % 3) AS code, p_name AS message FROM vfiles WHERE id % 5 = 0""")
+@query(f"""WITH {VFILES} SELECT path AS file, (p_size - 1)::INT AS line, 2 AS col, 'no-' || (p_size % 3) AS code, p_name AS message FROM vfiles""")
 def report_eslint(spark, d):
     doc = F.to_json(F.array(F.struct(F.col("path").alias("filePath"), F.array(F.struct(F.concat(F.lit("no-"), (F.col("p_size") % 3).cast("string")).alias("ruleId"), F.col("p_size").alias("line"), F.lit(3).alias("column"), F.concat("p_name", F.lit("\nmore")).alias("message"))).alias("messages"))))
-    return R.eslint(V.files(spark, d).filter("id % 5 = 0").select(doc.alias("text")))
+    return R.eslint(V.files(spark, d).select(doc.alias("text")))
 
 
-@query(f"""WITH {VFILES} SELECT path AS file, (p_size - 1)::INT AS line, 0 AS col, '' AS code, p_name AS message FROM vfiles WHERE id % 6 = 0""")
+@query(f"""WITH {VFILES} SELECT path AS file, (p_size - 1)::INT AS line, 0 AS col, '' AS code, p_name AS message FROM vfiles""")
 def report_regex_parse(spark, d):
-    text = V.files(spark, d).filter("id % 6 = 0").select(F.concat("path", F.lit(" @ "), F.col("p_size").cast("string"), F.lit(" > "), "p_name").alias("text"))
+    text = V.files(spark, d).select(F.concat("path", F.lit(" @ "), F.col("p_size").cast("string"), F.lit(" > "), "p_name").alias("text"))
     return R.by_regex(text, r"^(?<file>\S+) @ (?<line>\d+) > (?<message>.*)$")
 
 
 @query(
-    f"""WITH {VFILES} SELECT id, path, (p_size)::BIGINT AS hunk_start, CASE WHEN id % 2 = 0 THEN p_size + 3 ELSE p_size END::BIGINT AS hunk_end FROM vfiles WHERE id % 7 = 0 AND id % 3 <> 0"""
+    f"""WITH {VFILES} SELECT id, path, (p_size)::BIGINT AS hunk_start, CASE WHEN id % 2 = 0 THEN p_size + 3 ELSE p_size END::BIGINT AS hunk_end FROM vfiles WHERE id % 3 <> 0"""
 )
 def diff_parse(spark, d):
     gone = F.col("id") % 3 == 0
     new = F.when(gone, F.lit("/dev/null")).otherwise(F.concat(F.lit("b/"), "path"))
     mode = F.when(gone, F.lit("deleted file mode 100644\n")).otherwise(F.lit("index 1..2\n"))
     head = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n"), mode, F.lit("--- a/"), "path", F.lit("\n+++ "), new, F.lit("\n@@ -1,0 +"), F.col("p_size").cast("string"), F.when(F.col("id") % 2 == 0, F.lit(",4")).otherwise(F.lit("")), F.lit(" @@ ctx\n+a\n+b"))
-    text = V.files(spark, d).filter("id % 7 = 0").select("id", head.alias("text"))
+    text = V.files(spark, d).select("id", head.alias("text"))
     return R.diff(text, keys=("id",))[0]
 
 
 @query(
-    """WITH e AS (SELECT user_id % 10 AS repo, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE event_type <> 'view'), s AS (SELECT *, sum(new) OVER (PARTITION BY repo ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    """WITH e AS (SELECT user_id % 10 AS repo, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY repo ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT repo, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM s GROUP BY repo, k"""
 )
 def change_feed_sessions(spark, d):
-    e = V.table(spark, d, "events").filter("event_type <> 'view'").select((F.col("user_id") % 10).alias("repo"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("path"))
+    e = V.table(spark, d, "events").select((F.col("user_id") % 10).alias("repo"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("path"))
     out = feed.sessions(e, "30 minutes", ["repo"])
     return out.select("repo", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n", F.array_join("paths", ",").alias("paths"))
-
-
-def closure(spark: SparkSession, d: str) -> DataFrame:
-    """All (origin, node) pairs of the graph, kept for the bench."""
-    return settled(G.reach(V.edges(spark, d), _nodes(spark, d).select(F.col("node").alias("origin"))))
-
-

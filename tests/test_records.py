@@ -9,24 +9,30 @@ from girder.operators import records as R
 
 @pytest.fixture(scope="module")
 def records(spark):
-    schema = "sector string, reached int, since string, attested array<struct<phase:string,by:string,at:string,revoked:string>>, notes array<struct<text:string,by:string,at:string>>"
-    return spark.createDataFrame([("s", 1, "2024-01-01", [("agree", "a", "2024-01-02", None)], []), ("t", 0, "2024-01-01", [], [("n", "b", "2024-02-01")])], schema)
+    schema = f"sector string, reached int, since string, attested {R.ATTESTED}, notes array<struct<text:string,by:string,at:string>>"
+    return spark.createDataFrame([("s", 1, "2024-01-01", [("agree", "a", "2024-01-02", "said so", None, None)], []), ("t", 0, "2024-01-01", [], [("n", "b", "2024-02-01")])], schema)
 
 
 def test_attestations_and_notes(spark, records):
-    twice = R.attested(records, "agree", "b", "2024-03-01")
-    assert [len(r["attested"]) for r in twice.orderBy("sector").collect()] == [1, 1]
-    gone = R.revoked(twice, ["agree"], "2024-04-01")
+    at = spark.createDataFrame([("s", 1), ("t", 0)], "sector string, phase_at int")
+    phases = spark.createDataFrame([(0, "fix", False), (1, "agree", True)], "ord int, phase string, attested boolean")
+    twice, refused = R.attested(records, at, phases, "agree", "b", "2024-03-01", "met", "minutes.md")
+    assert [len(r["attested"]) for r in twice.orderBy("sector").collect()] == [2, 0]
+    assert [tuple(r) for r in refused.collect()] == [("t", "stands elsewhere")]
+    assert {r["refused"] for r in R.attested(records, at, phases, "fix", "b", "t", "r")[1].collect()} == {"not an attested phase"}
+    assert {r["refused"] for r in R.attested(records, at, phases, "no", "b", "t", "r")[1].collect()} == {"no such phase"}
+    gone = R.revoked(twice, ["agree"], "2024-04-01", "c", "sent back")
     assert gone.select(F.size(R.live_attestations())).distinct().collect()[0][0] == 0
-    many = records
-    for i in range(R.MOST_NOTES + 2):
-        many = R.noted(many, f"note {i}", "me", f"2024-05-{i + 1:02}")
-    assert {(len(r["notes"]), r["notes"][-1]["text"]) for r in many.collect()} == {(20, "note 21")}
+    assert {a["revoked"]["by"] for r in gone.collect() for a in r["attested"]} == {"c"}
+    assert {r["sector"]: r["sector_clock"] for r in R.clock(gone).collect()} == {"s": "2024-03-01", "t": "2024-02-01"}
+    full = records.withColumn("notes", F.array_repeat(F.struct(F.lit("old").alias("text"), F.lit("b").alias("by"), F.lit("2024-01-05").alias("at")), F.when(F.col("sector") == "s", R.MOST_NOTES).otherwise(R.MOST_NOTES - 1)))
+    more, refused = R.noted(full, "new", "me", "2024-05-01")
+    assert {r["sector"]: (len(r["notes"]), r["notes"][-1]["text"]) for r in more.collect()} == {"s": (20, "old"), "t": (20, "new")}
+    assert [r["sector"] for r in refused.collect()] == ["s"]
     with pytest.raises(ValueError):
         R.noted(records, "x" * 501, "me", "t")
-    assert {r["sector"]: r["sector_clock"] for r in R.clock(records).collect()} == {"s": "2024-01-02", "t": "2024-02-01"}
-    moved = R.reached(records, spark.createDataFrame([("s", 0), ("t", 2)], "sector string, phase_at int"))
-    assert {r["sector"]: r["reached"] for r in moved.collect()} == {"s": 1, "t": 2}
+    moved = R.reached(records, spark.createDataFrame([("s", 0), ("t", 2)], "sector string, phase_at int"), "2024-06-01")
+    assert {r["sector"]: (r["reached"], r["since"]) for r in moved.collect()} == {"s": (1, "2024-01-01"), "t": (2, "2024-06-01")}
 
 
 def test_sent_back(spark):
@@ -72,8 +78,16 @@ def test_reports(spark):
     held = states.filter("state <> 'unrecorded'").select("objective", "sector", "entry")
     rows = {r["sector"]: tuple(r)[2:] for r in R.report(states, sectors, held).collect()}
     assert rows == {"s": (1, 1, 0, 0, False, 1), "t": (0, 0, 0, 1, True, 1), "u": (0, 0, 0, 0, True, 0)}
-    bad = R.failures(R.report(states, sectors, held)).collect()
-    assert [(r["sector"], r["reasons"]) for r in bad] == [("s", ["new", "stale"])]
+    schema = "campaign string, objective string, sector string, inside boolean, count int, entered boolean, new int, stale int, holds boolean, unmeasured boolean, drift int, unreceipted int, on_complete string"
+    lines = [
+        ("all", "o", "s", True, 2, True, 1, 1, False, True, 1, 1, "keep"),
+        ("missing", "o", "s", True, 0, True, 0, 0, True, False, 0, 0, "remove"),
+        ("missing", "o", "t", True, 0, False, 3, 0, True, False, 0, 0, "remove"),
+        ("done", "o", "s", True, 0, True, 0, 0, True, False, 0, 0, "remove"),
+        ("fine", "o", "s", True, 3, True, 0, 0, True, False, 0, 0, "remove"),
+    ]
+    bad = {r["campaign"]: r["reasons"] for r in R.failures(R.campaign_report(spark.createDataFrame(lines, schema))).collect()}
+    assert bad == {"all": ["drift", "unreceipted", "unmeasured", "stale", "arithmetic", "growth"], "missing": ["missing ledger"], "done": ["complete"]}
     granted, unknown = R.chosen_holdouts(states, spark.createDataFrame([("o", "s", "x"), ("o", "s", "no")], "objective string, sector string, entry string"))
     assert [r["entry"] for r in granted.collect()] == ["x"] and [r["entry"] for r in unknown.collect()] == ["no"]
     two = spark.createDataFrame([("s", 1.0), ("s", 1.0), ("t", 2.0)], "sector string, delta double")
