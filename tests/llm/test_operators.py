@@ -400,7 +400,7 @@ def test_junk_held_out(spark):
     d = "/root/testdata/sf0.01"
     documents, labels = (spark.read.parquet(f"{d}/{x}.parquet") for x in ("documents", "labels"))
     got = site_quality.classify(documents, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
-    junk, found, clean, kept = got.agg(F.count_if("quality = 0"), F.count_if("quality = 0 and p_junk > 0.5"), F.count_if("quality = 1 and toxic = 0"), F.count_if("quality = 1 and toxic = 0 and keep")).first()
+    junk, found, clean, kept = got.agg(F.count_if(F.expr("quality = 0")), F.count_if(F.expr("quality = 0 and p_junk > 0.5")), F.count_if(F.expr("quality = 1 and toxic = 0")), F.count_if(F.expr("quality = 1 and toxic = 0 and keep"))).first()
     assert junk > 10 and found / junk > 0.9 and kept / clean > 0.95
 
 
