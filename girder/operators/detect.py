@@ -188,3 +188,16 @@ def unique_keys(rows: DataFrame, group: list[str], key: str, order: list[str]) -
     """Equal keys numbered in source order: the second becomes key~2, the third key~3."""
     n = F.row_number().over(Window.partitionBy(*group, key).orderBy(*order))
     return rows.withColumn("unique_key", F.when(n > 1, F.concat(F.col(key), F.lit("~"), n)).otherwise(F.col(key)))
+
+
+def innermost(positions: DataFrame, declared: DataFrame) -> DataFrame:
+    """positions (path, line, col) with `anchor`: the name of the declaration that holds the place, null where none does.
+
+    declared: path, ord, name, start_line, start_col, end_line, end_col, both ends included. Of several the one that starts last
+    counts, of equal starts the later one. They meet by file, and each place keeps one row while it is aggregated.
+    """
+    at, start, end = F.struct("line", "col"), F.struct(F.col("start_line").alias("line"), F.col("start_col").alias("col")), F.struct(F.col("end_line").alias("line"), F.col("end_col").alias("col"))
+    places = positions.select("path", "line", "col").distinct()
+    inside = places.join(declared, "path").filter((start <= at) & (at <= end))
+    found = inside.groupBy("path", "line", "col").agg(F.max_by("name", F.struct("start_line", "start_col", "ord")).alias("anchor"))
+    return positions.join(found, ["path", "line", "col"], "left")

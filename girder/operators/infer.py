@@ -60,3 +60,11 @@ def collapsed(tree: dict[str, dict], allow: dict[str, frozenset]) -> dict[str, f
             for c in own:
                 out.pop(c)
     return out
+
+
+def shared_by_all(items: DataFrame, group: str, member: str, item: str) -> DataFrame:
+    """(group, item): what every member of a group has."""
+    pairs = items.select(group, member, item).distinct()
+    size = pairs.groupBy(group).agg(F.count_distinct(member).alias("__n"))
+    have = pairs.groupBy(group, item).agg(F.count("*").alias("__have"))
+    return have.join(size, group).filter("__have = __n").select(group, item)

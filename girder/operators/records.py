@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from girder.operators.campaigns import windows
+from girder.functions.text import instant_ms
+from girder.operators.campaigns import conceded_measure, measure_standing, windows
 
 MOST_NOTES, MOST_NOTE = 20, 500  # fixed values: what a record holds
 
@@ -238,6 +239,36 @@ def chosen_holdouts(states: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Da
     return open_.join(wanted, keys, "left_semi"), wanted.join(open_, keys, "left_anti")
 
 
+def conceded_measures(rows: DataFrame, tolerance: Column, at: str, by: str, reason: str, keys: tuple[str, ...] = ("objective", "sector")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, receipts, left): only records that their value breaches are held to it; left are those it does not."""
+    breached = measure_standing(rows, tolerance) == "breached"
+    out, receipts = conceded_measure(rows.filter(breached), at, by, reason, keys)
+    return out.unionByName(rows.filter(~breached)), receipts, rows.filter(~breached).select(*keys)
+
+
+def measure_stalled(totals: DataFrame, stale_after_ms: int | None, now: str) -> Column:
+    """No improvement, attestation or note within the policy's time: created, last_improved and sector_clock; never without one."""
+    if stale_after_ms is None:
+        return F.lit(False)
+    return instant_ms(F.lit(now)) - instant_ms(F.greatest("created", "last_improved", "sector_clock")) > stale_after_ms
+
+
+def plan_of(phases: DataFrame) -> DataFrame:
+    """What a `clear` records of a plan: phase, ord, hash, defined and the number of its concessions."""
+    return phases.select("phase", "ord", "hash", (~F.col("open")).alias("defined"), F.size(F.coalesce("concessions", F.array().cast("array<string>"))).alias("concessions"))
+
+
+def grows(phases: DataFrame, positions: DataFrame) -> DataFrame:
+    """(sector, objective): the measures that a sector's phase expects to rise; phases: ord, grows; positions: sector, phase_at."""
+    named = phases.select(F.col("ord").alias("phase_at"), F.explode("grows").alias("objective"))
+    return positions.join(F.broadcast(named), "phase_at").select("sector", "objective")
+
+
+def base_side(states: DataFrame) -> DataFrame:
+    """States of another commit as they are kept: what did not measure is null."""
+    return states.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+
+
 def clock(records: DataFrame) -> DataFrame:
     """(sector, sector_clock): the last instant at which a sector advanced, was attested (revoked since or not) or noted, as text."""
     said = F.array_max(F.concat(F.transform("attested", lambda a: a["at"]), F.transform("notes", lambda n: n["at"])))

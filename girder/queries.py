@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from girder.functions import text as ft
 from girder.operators import campaigns as C
-from girder.operators import records as RC
 from girder.operators import detect as D
+from girder.operators import evaluation as E
 from girder.operators import families as fam
 from girder.operators import graph as G
 from girder.operators import infer as I
 from girder.operators import measures as M
+from girder.operators import records as RC
+from girder.operators import sectors as S
 from girder.plans import virtual as V
 from girder.plans.rules import Allowance, ExportRule, FolderRule, GraphRule, ImportRule, MemberRule, NamingRule, ParityRule, RootRule, SurfaceRule, allowance_table, rule_table
 from girder.plans.virtual import VBINDINGS, VCONTENT, VEDGES, VFILES, VOBSERVED, VSITES
+from girder.sources import history as H
 from girder.sources import reports as R
 from girder.streaming import feed
 
@@ -323,9 +326,9 @@ def slack(spark, d):
     return _slack(spark, d).filter("used_at = 0")
 
 
-@query(SLACK_SQL + ' SELECT place, is_fragment, allow_kind, entry, used_at, "of" FROM s')
+@query(SLACK_SQL + ' SELECT place, is_fragment, allow_kind, entry, used_at, "of", used_at * 2 < "of" AS concentrated FROM s')
 def concentration(spark, d):
-    return _slack(spark, d)
+    return _slack(spark, d).withColumn("concentrated", M.is_concentrated())
 
 
 @query(
@@ -754,6 +757,158 @@ def campaign_failures(spark, d):
     return RC.failures(RC.campaign_report(s.withColumns(fixed))).select("campaign", F.array_join("reasons", ",").alias("reasons"))
 
 
+# -- campaigns evaluated over their sectors ----------------------------------------------------------------------------
+
+PLAN_PHASES = [(0, "stop-errors", ["error"], False, False), (1, "agree", [], True, False), (2, "signups", ["signup", "purchase"], False, False), (3, "open", [], False, True)]
+PLAN_OBJECTIVES = [("error", None, False), ("signup", "open", False), ("click", "signups", False), ("view", None, False), ("purchase", None, True)]
+# Files are users' events, sectors the users, and what user 1 did is shared: purchases are read there alone, and hold all sectors.
+EVALUATED_SQL = """WITH RECURSIVE h AS (SELECT 'u' || user_id AS sector, event_type AS objective, 'e' || event_id AS entry FROM events WHERE value > 60),
+names AS (SELECT DISTINCT CASE WHEN user_id = 1 THEN 'shared' ELSE 'u' || user_id END AS sector, user_id FROM events UNION SELECT 'shared', 1),
+hit AS (SELECT CASE WHEN sector = 'u1' THEN 'shared' ELSE sector END AS sector, objective, entry FROM h WHERE (sector = 'u1') = (objective = 'purchase')),
+w(objective, first, "end", shared) AS (VALUES ('error', 0, 1073741824, false), ('signup', 2, 3, false), ('click', -1, 2, false), ('view', -1, 1073741824, false), ('purchase', 2, 1073741824, true)),
+cnt AS (SELECT sector, objective, count(*)::DOUBLE AS n FROM hit GROUP BY 1, 2), sh AS (SELECT coalesce((SELECT n FROM cnt WHERE sector = 'shared' AND objective = 'purchase'), 0) AS n),
+st AS (SELECT names.sector, user_id, w.*, CASE WHEN w.shared THEN sh.n ELSE coalesce(cnt.n, 0) END AS n, CASE WHEN user_id % 5 = 0 OR names.sector = 'shared' THEN -1 ELSE user_id % 4 END AS reached, user_id % 3 = 0 AND user_id % 5 <> 0 AS agreed FROM names CROSS JOIN w CROSS JOIN sh LEFT JOIN cnt ON cnt.sector = names.sector AND cnt.objective = w.objective),
+ph AS (SELECT sector, CASE WHEN sector = 'shared' THEN 4 WHEN bool_or(objective = 'error' AND n > 0) THEN 0 WHEN NOT any_value(agreed) THEN 1 WHEN bool_or(objective = 'signup' AND n > 0 AND reached < 3) OR bool_or(objective = 'purchase' AND n > 0) THEN 2 ELSE 3 END AS phase_at FROM st GROUP BY sector),
+ev AS (SELECT st.*, phase_at, CASE WHEN st.sector = 'shared' THEN shared ELSE NOT ("end" < 1073741824 AND "end" <= reached) AND phase_at >= first AND phase_at < "end" END AS inside, st.sector <> 'shared' AND NOT ("end" < 1073741824 AND "end" <= reached) AND first > phase_at AS behind FROM st JOIN ph USING (sector))"""
+
+
+def _evaluated(spark, d):
+    e = V.table(spark, d, "events")
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    rows = e.select("user_id", "event_type", "value", F.concat(user, F.lit("/e"), F.col("event_id").cast("string")).alias("path"))
+    perimeter = S.Perimeter("glob", ["^u[0-9]+/"])
+    sectors = S.discovered(rows.select("path"), perimeter, shared=["^u1/"])
+    found = rows.filter("value > 60").select(F.col("event_type").alias("objective"), "path", F.lit(None).cast("string").alias("subject"))
+    at = S.hit_sectors(found, sectors, perimeter)
+    hits = at.select("objective", "sector", "path", F.substring_index("path", "/", -1).alias("entry"))
+    phases = spark.createDataFrame(PLAN_PHASES, "ord int, phase string, objectives array<string>, attested boolean, open boolean")
+    fixed = {"measured": F.lit(False), "direction": F.lit("down"), "target": F.lit(None).cast("double")}
+    plan = E.Plan(phases, spark.createDataFrame(PLAN_OBJECTIVES, "objective string, until string, over_shared boolean").withColumns(fixed), shared=True)
+    step = F.struct(F.lit("agree").alias("phase"), F.lit("a").alias("by"), F.lit("t0").alias("at"), F.lit("r").alias("reason"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast(RC.REVOKED).alias("revoked"))
+    said = F.when(F.col("user_id") % 3 == 0, F.array(step)).otherwise(F.array().cast(RC.ATTESTED))
+    records = e.filter("user_id % 5 <> 0 and user_id <> 1").select("user_id").distinct().select(user.alias("sector"), (F.col("user_id") % 4).cast("int").alias("reached"), F.lit("t0").alias("since"), said.alias("attested"), F.array().cast("array<struct<text:string,by:string,at:string>>").alias("notes"))
+    return E.evaluated(sectors, plan, hits, records), plan, records
+
+
+def _plan_ledger(e):
+    """Each objective's ledger before: every hit of an even number was a holdout, and so were some that are gone."""
+    at = e.hits.filter("objective <> 'purchase'").select("objective", "sector", "entry", F.expr("cast(substr(entry, 2) as bigint)").alias("id")).filter("id % 2 = 0")
+    old = at.select("objective", "sector", F.when(F.col("id") % 3 == 0, F.concat(F.lit("gone"), F.col("id").cast("string"))).otherwise(F.col("entry")).alias("entry"))
+    rows = old.groupBy("objective", "sector").agg(F.array_sort(F.collect_list("entry")).alias("holdouts"))
+    return rows.select("objective", "sector", F.lit("t0").alias("entered"), F.size("holdouts").cast("double").alias("initial"), F.lit(0.0).alias("cleared"), F.lit(0.0).alias("closed"), F.lit("t0").alias("last_cleared"), "holdouts")
+
+
+PLAN_LEDGER_SQL = """, led AS (SELECT sector, objective, CASE WHEN id % 3 = 0 THEN 'gone' || id ELSE entry END AS entry, id % 3 = 0 AS gone FROM (SELECT *, substr(entry, 2)::BIGINT AS id FROM hit) WHERE objective <> 'purchase' AND id % 2 = 0)"""
+
+
+@query(EVALUATED_SQL + " SELECT sector, objective, n, phase_at, inside, behind FROM ev")
+def campaign_evaluated(spark, d):
+    return _evaluated(spark, d)[0].states.select("sector", "objective", "n", "phase_at", "inside", "behind")
+
+
+@query(EVALUATED_SQL + " SELECT sector, objective, entry FROM hit WHERE (sector, objective) IN (SELECT (sector, objective) FROM ev WHERE inside)")
+def campaign_counted(spark, d):
+    return E.counted(_evaluated(spark, d)[0]).select("sector", "objective", "entry")
+
+
+@query(EVALUATED_SQL + " SELECT sector, objective, n FROM ev WHERE n > 0 AND first = phase_at AND first >= 0")
+def campaign_toward_next(spark, d):
+    e, plan, _ = _evaluated(spark, d)
+    return E.toward_next(e, plan)
+
+
+@query(EVALUATED_SQL + PLAN_LEDGER_SQL + " SELECT sector, objective, entry FROM hit SEMI JOIN led USING (sector, objective, entry) WHERE (sector, objective) IN (SELECT (sector, objective) FROM ev WHERE inside)")
+def campaign_ledgered(spark, d):
+    e, _, _ = _evaluated(spark, d)
+    holdouts = _plan_ledger(e).select("objective", "sector", F.posexplode("holdouts").alias("ord", "entry"))
+    return E.ledgered(e, holdouts).select("sector", "objective", "entry")
+
+
+@query(
+    EVALUATED_SQL
+    + PLAN_LEDGER_SQL
+    + """, o AS (SELECT sector, objective, count(*) AS held, count_if(gone) AS stale FROM led GROUP BY 1, 2)
+SELECT ev.sector, ev.objective, CASE WHEN held IS NULL THEN ev.n ELSE held END::DOUBLE AS initial, CASE WHEN held IS NOT NULL AND inside THEN stale ELSE 0 END::DOUBLE AS cleared, CASE WHEN held IS NOT NULL AND NOT inside AND NOT behind THEN held ELSE 0 END::DOUBLE AS closed,
+CASE WHEN held IS NULL THEN ev.n WHEN inside THEN held - stale WHEN behind THEN held ELSE 0 END::INT AS n_holdouts FROM ev LEFT JOIN o USING (sector, objective) WHERE (ev.objective <> 'purchase' OR ev.sector = 'shared') AND (held IS NOT NULL OR inside)"""
+)
+def campaign_clear(spark, d):
+    e, _, _ = _evaluated(spark, d)
+    out = E.cleared(e, _plan_ledger(e), "t1")[0]
+    return out.select("sector", "objective", "initial", "cleared", "closed", F.size("holdouts").alias("n_holdouts"))
+
+
+@query(
+    EVALUATED_SQL
+    + PLAN_LEDGER_SQL
+    + """, rec AS (SELECT DISTINCT sector, reached, agreed FROM st WHERE reached >= 0), o AS (SELECT sector, objective, count(*)::DOUBLE AS held FROM led GROUP BY 1, 2),
+own AS (SELECT rec.sector, rec.reached, agreed, w.objective, coalesce(held, CASE WHEN first > rec.reached THEN 1 ELSE 0 END) AS n FROM rec CROSS JOIN w LEFT JOIN o ON o.objective = w.objective AND o.sector = CASE WHEN w.shared THEN 'shared' ELSE rec.sector END)
+SELECT sector, CASE WHEN bool_or(objective = 'error' AND n > 0) THEN 0 WHEN NOT any_value(agreed) THEN 1 WHEN bool_or(objective = 'signup' AND n > 0 AND reached < 3) OR bool_or(objective = 'purchase' AND n > 0) THEN 2 ELSE 3 END AS phase_at FROM own GROUP BY sector"""
+)
+def campaign_ledger_phase(spark, d):
+    e, plan, records = _evaluated(spark, d)
+    return E.ledger_phase(records, _plan_ledger(e), plan)
+
+
+PERIMETER_SQL = """, m(marker, sector, owns) AS (VALUES ('src/small/sector.json', 'small', NULL), ('src/large/sector.json', 'large', '^src/large/brand-1'), ('src/promo/brand-99/sector.json', 'small', NULL)),
+c AS (SELECT path, sector, marker FROM vfiles, m WHERE (owns IS NULL AND path LIKE regexp_extract(marker, '^(.*)/', 1) || '/%') OR regexp_matches(path, owns)), f AS (SELECT path, arg_min(sector, marker) AS sector FROM c GROUP BY path)"""
+
+
+@query(f"WITH {VFILES}{PERIMETER_SQL} SELECT path, CASE WHEN regexp_matches(path, '/hot-') THEN 'shared' ELSE coalesce(f.sector, 'legacy') END AS sector FROM vfiles LEFT JOIN f USING (path) WHERE regexp_matches(path, '/hot-') OR f.sector IS NOT NULL OR regexp_matches(path, '^src/(large|economy)/')")
+def sectors_of_markers(spark, d):
+    """Two markers of one name own their folders, a third what its pattern says; hot files are shared, some others legacy."""
+    own = [("src/small/sector.json", "small", []), ("src/large/sector.json", "large", [("^src/large/brand-1", "src/large")]), ("src/promo/brand-99/sector.json", "small", [])]
+    rows = spark.createDataFrame(own, "marker string, sector string, owns array<struct<pattern:string,root:string>>")
+    return S.discovered(V.files(spark, d), S.Perimeter("marker", rows=rows), shared=["/hot-"], legacy=["^src/(large|economy)/"]).files.select("path", "sector")
+
+
+@query(f"WITH {VFILES} SELECT regexp_replace(path, '\\.[^.]*$', '') AS sector, regexp_extract(path, '^(.*)/', 1) AS root, path FROM vfiles")
+def sectors_of_files(spark, d):
+    found = S.discovered(V.files(spark, d), S.Perimeter("file"))
+    return found.files.join(found.names, "sector").select("sector", S.root_of(F.col("roots"), F.col("path")).alias("root"), "path")
+
+
+@query(
+    """WITH decl AS (SELECT p_brand AS path, p_partkey AS ord, p_name AS name, p_size AS a, p_size + p_partkey % 20 AS b FROM part), pos AS (SELECT DISTINCT p_brand AS path, l_quantity::INT AS line FROM lineitem JOIN part ON p_partkey = l_partkey),
+x AS (SELECT pos.path, line, name, row_number() OVER (PARTITION BY pos.path, line ORDER BY a DESC, ord DESC) AS rn FROM pos JOIN decl ON decl.path = pos.path AND line BETWEEN a AND b) SELECT pos.path, pos.line, x.name AS anchor FROM pos LEFT JOIN x ON x.path = pos.path AND x.line = pos.line AND rn = 1"""
+)
+def innermost_anchor(spark, d):
+    """Parts as declarations of their brand's file; each line that an order names lies in the innermost that holds it."""
+    p = V.table(spark, d, "part")
+    declared = p.select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_size").alias("start_line"), F.lit(0).alias("start_col"), (F.col("p_size") + F.col("p_partkey") % 20).cast("int").alias("end_line"), F.lit(0).alias("end_col"))
+    at = V.table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("path"), F.col("l_quantity").cast("int").alias("line"), F.lit(0).alias("col")).distinct()
+    return D.innermost(at, declared).select("path", "line", "anchor")
+
+
+DAYS_SQL = """c AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS sha, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS ord, event_type || '/u' || user_id AS path FROM events)"""
+
+
+def _commits(spark, d):
+    at = F.col("ts").cast("timestamp")
+    return V.table(spark, d, "events").select(F.date_format(at, "yyyy-MM-dd").alias("sha"), F.datediff(at, F.lit("2024-01-01")).alias("ord"), F.concat("event_type", F.lit("/u"), F.col("user_id").cast("string")).alias("path")).distinct()
+
+
+@query(f"WITH {DAYS_SQL} SELECT sha, ord, string_agg(path, ',' ORDER BY path) AS files FROM c WHERE regexp_matches(path, '^(error|signup)/u[0-9]$') GROUP BY sha, ord")
+def commits_touching(spark, d):
+    """Days as commits, users' kinds of events as files."""
+    out = H.commits_touching(_commits(spark, d), F.array(F.lit("^(error|signup)/u[0-9]$")))
+    return out.select("sha", "ord", F.array_join("files", ",").alias("files"))
+
+
+@query(f"WITH {DAYS_SQL}, v AS (SELECT path, ord, count(*) OVER (PARTITION BY path ORDER BY ord) AS version FROM c WHERE ord % 2 = 0), s AS (SELECT DISTINCT sha, ord FROM c) SELECT s.sha, path, max(version) AS version FROM s JOIN v ON v.ord <= s.ord GROUP BY s.sha, path")
+def versions_as_of(spark, d):
+    """The last version of every file that was written at or before each commit."""
+    c = _commits(spark, d)
+    even = c.filter("ord % 2 = 0").select("path", "ord")
+    version = F.count("*").over(Window.partitionBy("path").orderBy("ord"))
+    return H.as_of(c, even.withColumn("version", version), ["path"])
+
+
+@query(f"WITH {VFILES}, t AS (SELECT DISTINCT regexp_extract(path, '^(src/[^/]+)/', 1) AS node, p_brand AS member, p_size AS item FROM vfiles), n AS (SELECT node, count(DISTINCT member) AS n FROM t GROUP BY 1) SELECT node, item FROM t JOIN n USING (node) GROUP BY node, item, n HAVING count(*) = n")
+def infer_shared_by_all(spark, d):
+    f = V.files(spark, d).select(F.regexp_extract("path", "^(src/[^/]+)/", 1).alias("node"), F.col("p_brand").alias("member"), F.col("p_size").alias("item"))
+    return I.shared_by_all(f, "node", "member", "item")
+
+
 # -- inference ---------------------------------------------------------------------------------------------------------
 
 
