@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from girder.lineage import settled
 from girder.operators import campaigns as C
 from girder.operators import records as RC
 from girder.operators.measures import distance_to_target
@@ -59,13 +60,15 @@ def positions_of(names: DataFrame, records: DataFrame) -> DataFrame:
 def evaluated(sectors: Sectors, plan: Plan, hits: DataFrame, records: DataFrame, values: DataFrame | None = None) -> Evaluation:
     """hits: objective, sector, path, entry; values: objective, sector, value of measures (0 where none is, NaN did not measure).
 
+    Both tables are settled once, since every verb reads them several times.
+
     An objective is read over the shared files or over the sectors, never both, and what the shared files count for one is what
     every sector counts. A sector stands at the first phase that it owes something; legacy files stand at the first of all, and
     the shared ones past the last.
     """
     spark, last = hits.sparkSession, plan.phases.count()
     win = F.broadcast(plan.windows().select("objective", "first", "end", "over_shared", "measured", "direction", "target"))
-    kept = hits.join(win.select("objective", "over_shared"), "objective").filter((F.col("sector") == SHARED) == F.col("over_shared")).drop("over_shared")
+    kept = settled(hits.join(win.select("objective", "over_shared"), "objective").filter((F.col("sector") == SHARED) == F.col("over_shared")).drop("over_shared"))
     values = values if values is not None else spark.createDataFrame([], "objective string, sector string, value double")
     names = sectors.names.select("sector")
     counted = kept.groupBy(*PAIR).agg(F.count("*").cast("double").alias("count"))
@@ -84,7 +87,7 @@ def evaluated(sectors: Sectors, plan: Plan, hits: DataFrame, records: DataFrame,
     in_shared = (F.col("sector") == SHARED) & F.lit(plan.shared)
     rows = own.join(at, "sector")
     flags = {"inside": F.when(in_shared, over).otherwise(C.in_window()), "behind": ~in_shared & C.is_behind()}
-    return Evaluation(kept, rows.withColumns(flags).select("objective", "sector", "n", "value", "phase_at", "reached", "first", "end", "over_shared", "measured", "inside", "behind"))
+    return Evaluation(kept, settled(rows.withColumns(flags).select("objective", "sector", "n", "value", "phase_at", "reached", "first", "end", "over_shared", "measured", "inside", "behind")))
 
 
 def counted(e: Evaluation) -> DataFrame:
@@ -119,7 +122,7 @@ def ledger_phase(records: DataFrame, ledger: DataFrame, plan: Plan, measures: Da
     rows = pairs.join(held, ["objective", "__at"], "left").join(valued, ["objective", "__at"], "left")
     gap = F.when(F.col("closed").isNotNull(), 0.0).when(F.col("recorded").isNotNull(), distance_to_target(F.col("direction"), F.col("target"), F.col("recorded")))
     owed = F.coalesce(F.when(F.col("measured"), gap).otherwise(F.col("__held")), F.when(F.col("first") > F.col("reached"), 1.0).otherwise(0.0))
-    at = C.derived_phase(positions_of(records, records), rows.select(*PAIR, owed.alias("n")), plan.phases, plan.objectives)
+    at = C.derived_phase(positions_of(records, records), settled(rows.select(*PAIR, owed.alias("n"))), plan.phases, plan.objectives)
     return at.withColumn("phase_at", F.when(F.col("sector") == LEGACY, 0).otherwise(F.col("phase_at")))
 
 
@@ -165,6 +168,7 @@ def cleared(e: Evaluation, ledger: DataFrame, at: str, by: str = "objectives cle
         fresh, receipts = C.rebaselined(was, now, at, by, reason)
         lists = fresh.groupBy(*PAIR).agg(F.array_sort(F.collect_list("entry")).alias("__now"))
         out = out.unionByName(held.join(lists, PAIR, "left").withColumn("holdouts", F.coalesce("__now", none)).select(*PAIR, *columns))
+    out = settled(out)
     before = ledger.groupBy("objective").agg(F.sum("cleared").alias("__c"), F.sum("closed").alias("__x"))
     entered = out.join(ledger.select(*PAIR), PAIR, "left_anti").groupBy("objective").agg(F.count("*").alias("entered"))
     moved = receipts.groupBy("objective").agg(F.count("*").alias("rebaselined"))
@@ -193,7 +197,7 @@ def conceded(e: Evaluation, ledger: DataFrame, records: DataFrame, plan: Plan, o
     if mine.isEmpty():
         raise ValueError(f"objective {objective} has no ledger yet: clear first")
     now = counted(e).filter(F.col("objective") == objective).select(*PAIR, "entry").withColumn("ord", F.col("entry"))
-    states = C.reconcile(mine.select(*PAIR, F.posexplode("holdouts").alias("ord", "entry")), now, unit)
+    states = settled(C.reconcile(mine.select(*PAIR, F.posexplode("holdouts").alias("ord", "entry")), now, unit))
     if wanted is not None:
         states_new, unknown = RC.chosen_holdouts(states, wanted)
         if lost := [r["entry"] for r in unknown.take(5)]:
