@@ -97,14 +97,15 @@ def counts(facts: Facts, policy: Policy) -> DataFrame:
     rules, allowances = rule_table(spark, policy.imports), allowance_table(spark, policy.imports)
     vacant = M.vacant_nodes(facts.files, rules, allowances).agg(F.lit("vacant").alias("measure"), F.count("*").alias("value"))
     entries = M.slack_of(facts.files, facts.observed, rules, allowances)
-    slack = entries.agg(F.lit("slack").alias("measure"), F.count_if("used_at = 0").alias("value"))
+    slack = entries.agg(F.lit("slack").alias("measure"), F.count_if(F.col("used_at") == 0).alias("value"))
     dense = entries.agg(F.lit("concentration").alias("measure"), F.count_if(F.col("is_fragment") & (F.col("used_at") > 0) & M.is_concentrated()).alias("value"))
     return residue.unionByName(vacant).unionByName(slack).unionByName(dense)
 
 
-def check(facts: Facts, policy: Policy, baseline: DataFrame | None = None) -> dict[str, DataFrame]:
+def check(facts: Facts, policy: Policy, baseline: DataFrame | None = None, campaigns: DataFrame | None = None) -> dict[str, DataFrame]:
     """Violations with their baselined flag, unresolved imports, stale entries, and limits that do not hold. `failure` has one row, in the order
-    stale, shortfall, overrun, excess, violations; its reason is null where the check passes."""
+    stale, the first reason of the first failing campaign, shortfall, overrun, excess, violations; its reason is null where the check
+    passes. campaigns: campaign, reasons, as `records.failures` gives them."""
     spark = facts.files.sparkSession
     base = baseline if baseline is not None else spark.createDataFrame([], "entry string")
     found = M.flagged(findings(facts, policy), base)
@@ -117,7 +118,9 @@ def check(facts: Facts, policy: Policy, baseline: DataFrame | None = None) -> di
     excess = M.overruns(counts(facts, policy), limits["conformance"]) if limits.get("conformance") else spark.createDataFrame([], "measure string, value long, ceiling double")
     n = lambda df, name: df.agg(F.count("*").alias(name))
     sums = n(stale, "a").crossJoin(n(short, "b")).crossJoin(n(over, "c")).crossJoin(n(excess, "d")).crossJoin(n(found.filter("not baselined"), "e"))
-    reason = F.when(F.col("a") > 0, "stale").when(F.col("b") > 0, "shortfall").when(F.col("c") > 0, "overrun").when(F.col("d") > 0, "excess").when(F.col("e") > 0, "violations")
+    failing = campaigns if campaigns is not None else spark.createDataFrame([], "campaign string, reasons array<string>")
+    sums = sums.crossJoin(failing.agg(F.min_by(F.get("reasons", F.lit(0)), "campaign").alias("campaign")))
+    reason = F.when(F.col("a") > 0, "stale").when(F.col("campaign").isNotNull(), F.col("campaign")).when(F.col("b") > 0, "shortfall").when(F.col("c") > 0, "overrun").when(F.col("d") > 0, "excess").when(F.col("e") > 0, "violations")
     return {"violations": found, "unresolved": unresolved(facts, policy), "stale": stale, "shortfalls": short, "overruns": over, "excesses": excess, "failure": sums.select(reason.alias("reason"))}
 
 

@@ -149,6 +149,14 @@ def probe_path(glob: str) -> str:
     return re.sub(r"\[.*?\]", "a", glob.replace("**", "deep").replace("*", "any").replace("?", "x"))
 
 
+STRAY = ["zzProbeStray", "zz-probe-stray", "ZZ_PROBE_STRAY", "zz probe stray"]  # one of them breaks any convention that rules something out
+
+
+def sample(globs) -> str:
+    """A name that the first of the globs admits."""
+    return probe_path(many(globs)[0]) if many(globs) else STRAY[0]
+
+
 def lowered(manifest: dict, origin: dict[tuple[str, ...], str] | None = None) -> Policy:
     out, origin, aliases = Policy(), origin or {}, manifest.get("aliases", {})
     if unknown := set(manifest) - TOP:
@@ -218,14 +226,22 @@ def lowered(manifest: dict, origin: dict[tuple[str, ...], str] | None = None) ->
             out.probes.append(("import", rule, {"path": "nowhere/zz/outside.ts", "target": probe}))
         for i, m in enumerate(many(node.get("members"))):
             full = lambda xs: [own_pattern(source(x, {}, False)) for x in many(xs)]
-            out.members.append(MemberRule(f"{name}/members-{i}", m["message"], [scope], [], m.get("subject", "members"), full(m.get("in")), m.get("declares"), full(m.get("match")), full(m.get("matchNot")), full(m.get("allow"))))
+            rule = MemberRule(f"{name}/members-{i}", m["message"], [scope], [], m.get("subject", "members"), full(m.get("in")), m.get("declares"), full(m.get("match")), full(m.get("matchNot")), full(m.get("allow")))
+            out.members.append(rule)
+            site = {"name": sample(m.get("match")), "in": sample(m.get("in")) if m.get("in") else None, "declares": (m.get("declares") or [None])[0], **(m.get("probe") or {})}
+            out.probes.append(("member", rule, {"path": probe, **site}))
         for i, m in enumerate(many(node.get("surface"))):
             full = lambda xs: [own_pattern(source(x, {}, False)) for x in many(xs)]
             demand = "allow" if "allow" in m else "convention" if "convention" in m else "count" if "count" in m else "forbid"
             conv = m.get("convention")
             conv = conv["regex"] if isinstance(conv, dict) else CONVENTIONS[conv] if conv else None
             count = m.get("count") or {}
-            out.surface.append(SurfaceRule(f"{name}/surface-{i}", m["message"], [scope], [target(x, groups) for x in many(m.get("except"))], m.get("kinds"), m.get("declares"), m.get("reexport"), full(m.get("match")), full(m.get("matchNot")), demand, full(m.get("allow")), conv, count.get("min"), count.get("max")))
+            rule = SurfaceRule(f"{name}/surface-{i}", m["message"], [scope], [target(x, groups) for x in many(m.get("except"))], m.get("kinds"), m.get("declares"), m.get("reexport"), full(m.get("match")), full(m.get("matchNot")), demand, full(m.get("allow")), conv, count.get("min"), count.get("max"))
+            out.surface.append(rule)
+            site = {"kind": (m.get("kinds") or ["named"])[0], "declares": (m.get("declares") or ["other"])[0], "reexport": bool(m.get("reexport"))}
+            names = [sample(m.get("match"))] if m.get("match") else STRAY
+            many_sites = [{**site, "name": names[0]}] * (0 if count.get("min") else (count.get("max") or 0) + 1) if demand == "count" else [{**site, "name": x} for x in names]
+            out.probes.append(("surface", rule, {"path": probe, "sites": (m.get("probe") or {}).get("sites", many_sites)}))
         if requires := many(node.get("requires")):
             rule = ParityRule(f"{name}/requires", node.get("message", "A sibling is missing."), [mine] if not folder else [inside + "[^/]+$"], [f"(?:^|/){source(x, {}, False)}$" for x in many(node.get("requiresNot"))], requires)
             out.parity.append(rule)
@@ -239,7 +255,9 @@ def lowered(manifest: dict, origin: dict[tuple[str, ...], str] | None = None) ->
             pattern = subject + source(head[0], {}, False) + r"([^/.]+)" + (source(head[1], {}, False) if len(head) > 1 else "") + "$"
             if like and like not in groups:
                 raise Refused(f"{name}: no capture {like}")
-            out.naming.append(NamingRule(f"{name}/name", node.get("message", "The name breaks the convention."), [pattern], [], len(at["groups"]) + 1, at["groups"].get(like) if like else None, conv))
+            rule = NamingRule(f"{name}/name", node.get("message", "The name breaks the convention."), [pattern], [], len(at["groups"]) + 1, at["groups"].get(like) if like else None, conv)
+            out.naming.append(rule)
+            out.probes.append(("naming", rule, {"path": probe_path(glob)}))
         children = node.get("children") or {}
         if folder and children and not node.get("partial"):
             files = [own_pattern(source(o.strip(), dict(groups), False).replace("\\1", "[^/]+")) for k in children if not k.endswith("/") for o in k.split("|")]
@@ -293,6 +311,8 @@ def lowered(manifest: dict, origin: dict[tuple[str, ...], str] | None = None) ->
     for e in many(manifest.get("exports")):
         rule = ExportRule(e["name"], e["message"], ["^"], [target(x) for x in many(e.get("except"))], [target(x) for x in many(e["module"])], [], e.get("symbols"), e.get("kinds", ["named"]), e.get("fix"))
         out.exports.append(rule)
+        bound = {"target": probe_path(alias(many(e["module"])[0])), "symbol": (e.get("symbols") or ["zzProbe"])[0], "kind": rule.kinds[0], **(e.get("probe") or {})}
+        out.probes.append(("export", rule, {"path": "nowhere/zz/outside.ts", **bound}))
     graph = manifest.get("graph") or {}
     pick = lambda g, *keys: {k: [target(x) for x in many(g.get(j))] for k, j in keys}
     for g in many(graph.get("cycles")):
@@ -321,6 +341,25 @@ def failing_probes(policy: Policy) -> list[str]:
             put = lambda p, m=m: re.sub(r"\$([1-9])", lambda g: re.escape(m[int(g[1])]) if int(g[1]) <= len(m.groups()) and m[int(g[1])] is not None else g[0], p)
             if rule.to and not hit(map(put, rule.to), probe["target"]) or hit(map(put, rule.to_not), probe["target"]):
                 bad.append(f"{rule.name} does not report its probe {path} -> {probe['target']}")
+        elif family in ("export", "member", "surface") and (not hit(rule.from_, path) or hit(rule.from_not, path)):
+            bad.append(f"{rule.name} does not select its probe {path}")
+        elif family == "export" and (not hit(rule.to, probe["target"]) or probe["kind"] not in rule.kinds or rule.symbols and probe["symbol"] not in rule.symbols):
+            bad.append(f"{rule.name} does not cover its probe {probe['symbol']} of {probe['target']}")
+        elif family == "member" and (
+            rule.in_ and not hit(rule.in_, probe["in"] or "") or rule.declares and probe["declares"] not in rule.declares or rule.match and not hit(rule.match, probe["name"]) or hit([*rule.match_not, *rule.allow], probe["name"])
+        ):
+            bad.append(f"{rule.name} does not report its probe {probe['name']}")
+        elif family == "surface":
+            spoken = [s for s in probe["sites"] if (not rule.kinds or s["kind"] in rule.kinds) and (not rule.declares or s.get("declares", "other") in rule.declares) and rule.reexport in (None, s.get("reexport", False)) and (not rule.match or hit(rule.match, s["name"])) and not hit(rule.match_not, s["name"])]
+            fine = {"forbid": [], "allow": rule.allow, "convention": [rule.convention]}.get(rule.demand)
+            held = (rule.least or 0) <= len(spoken) <= (len(spoken) if rule.most is None else rule.most) if fine is None else all(hit(fine, s["name"]) for s in spoken)
+            if held:
+                bad.append(f"{rule.name} reports nothing for its probe")
+        elif family == "naming":
+            if (m := re.search(rule.file[0], path)) is None:
+                bad.append(f"{rule.name} does not name its probe {path}")
+            elif rule.same_as is None and rule.convention and all(re.search(rule.convention, x) for x in STRAY):
+                bad.append(f"{rule.name} admits every name")
         elif family == "parity" and (not hit(rule.file, path) or hit(rule.file_not, path)):
             bad.append(f"{rule.name} does not ask its probe {path}")
         elif family == "layout":

@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from girder.schema import BASELINE, LEDGER
 
@@ -51,3 +52,63 @@ def canonical_digest(value: object) -> str:
 
 def manifest_hash(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+# -- the conformance snapshot ------------------------------------------------------------------------------------------
+
+
+def _rows(**fields: DataType) -> ArrayType:
+    return ArrayType(StructType([StructField(k, v) for k, v in fields.items()]))
+
+
+#: The shape of a snapshot: its JSON Schema and its decoder both come from here.
+SNAPSHOT = StructType(
+    [
+        StructField("version", IntegerType()),
+        StructField("ok", BooleanType()),
+        StructField("coverage", _rows(family=StringType(), covered=LongType(), total=LongType(), share=DoubleType())),
+        StructField("counts", _rows(measure=StringType(), value=LongType())),
+        StructField("violations", _rows(kind=StringType(), n=LongType())),
+        StructField("heights", _rows(height=IntegerType(), n=LongType())),
+        StructField("cycles", _rows(comp=StringType(), size=IntegerType())),
+    ]
+)
+JSON_TYPES = {StringType: "string", IntegerType: "integer", LongType: "integer", DoubleType: "number", BooleanType: "boolean"}
+
+
+def json_schema(kind: DataType) -> dict:
+    """JSON Schema of a type; objects admit no other keys."""
+    if isinstance(kind, StructType):
+        return {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in kind.fields}, "required": kind.names, "additionalProperties": False}
+    if isinstance(kind, ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType)}
+    return {"type": JSON_TYPES[type(kind)]}
+
+
+def snapshot_schema() -> dict:
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": "Conformance snapshot", **json_schema(SNAPSHOT)}
+
+
+def misfits(value: object, kind: DataType, at: str = "$") -> list[str]:
+    """Where a JSON value is not of the type: all places, unknown and missing keys included."""
+    if isinstance(kind, StructType):
+        if not isinstance(value, dict):
+            return [f"{at} is no object"]
+        odd = [f"{at}.{k} is unknown" for k in sorted(set(value) - set(kind.names))] + [f"{at}.{k} is missing" for k in kind.names if k not in value]
+        return odd + [x for f in kind.fields if f.name in value for x in misfits(value[f.name], f.dataType, f"{at}.{f.name}")]
+    if isinstance(kind, ArrayType):
+        return [x for i, v in enumerate(value) for x in misfits(v, kind.elementType, f"{at}[{i}]")] if isinstance(value, list) else [f"{at} is no list"]
+    wanted = {"string": str, "boolean": bool, "integer": int, "number": (int, float)}[JSON_TYPES[type(kind)]]
+    fits = isinstance(value, wanted) and (wanted is bool or not isinstance(value, bool))
+    return [] if fits else [f"{at} is no {JSON_TYPES[type(kind)]}"]
+
+
+def decode_snapshot(text: str) -> dict:
+    """A snapshot that some run wrote; one that is not wholly of the shape is refused, with every reason."""
+    try:
+        value = json.loads(text)
+    except ValueError as e:
+        raise Refused(f"the snapshot is no JSON: {e}") from None
+    if reasons := misfits(value, SNAPSHOT):
+        raise Refused(*reasons)
+    return value
