@@ -671,8 +671,11 @@ def ledger_clear(spark, d):
     """WITH v AS (SELECT event_type AS objective, user_id AS sector, avg(CASE WHEN event_id % 2 = 0 THEN value END) AS recorded, avg(CASE WHEN event_id % 2 = 1 THEN value END) AS value FROM events GROUP BY 1, 2) SELECT objective, sector, CASE WHEN recorded IS NULL THEN 'unrecorded' WHEN value - recorded > 5 THEN 'breached' WHEN recorded - value > 5 THEN 'surpassed' ELSE 'within' END AS standing FROM v WHERE value IS NOT NULL"""
 )
 def measure_standing(spark, d):
-    pick = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("value")))
-    v = V.table(spark, d, "events").groupBy(F.col("event_type").alias("objective"), F.col("user_id").alias("sector")).agg(pick(0).alias("recorded"), pick(1).alias("value")).filter("value is not null")
+    # sums of doubles depend on their order, which decides at a difference of just the tolerance: rows are added up by event_id
+    order = Window.partitionBy("objective", "sector").orderBy("event_id", "value")
+    pick = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("value"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = V.table(spark, d, "events").select(F.col("event_type").alias("objective"), F.col("user_id").alias("sector"), "event_id", "value")
+    v = rows.select("objective", "sector", pick(0).alias("recorded"), pick(1).alias("value"), F.lead(F.lit(True)).over(order).alias("more")).filter("more is null and value is not null")
     v = v.withColumns({"closed": F.lit(None).cast("double"), "direction": F.lit("down")})
     return v.select("objective", "sector", C.measure_standing(v, F.lit(5.0)).alias("standing"))
 

@@ -1,5 +1,7 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -33,3 +35,24 @@ def test_query(spark, sf, duck, name):
         assert rows(df.columns, got) == rows(names, want.fetchall())
     else:
         assert df.columns
+
+
+def test_measure_standing_adds_up_by_event_id(spark, tmp_path):
+    """Means that lie just the tolerance apart, over rows that come in any order and in several partitions."""
+    rnd, rows = random.Random(3), []
+    for user in range(1500):
+        low = [rnd.randint(1, 9_999) for _ in range(3)]
+        high = [x + 500 for x in low]
+        rnd.shuffle(high)
+        rows += [(0, user, "view", x / 100) for pair in zip(low, high, strict=True) for x in pair]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    fields = "event_id long, user_id long, event_type string, value double"
+    spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/ordered.parquet")
+    rnd.shuffle(rows)
+    spark.createDataFrame(rows, fields).repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/ordered.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["measure_standing"]).fetchall()
+    got = [tuple(r) for r in QUERIES["measure_standing"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert {r[2] for r in want} == {"within", "breached"}
