@@ -1,9 +1,8 @@
 """Near-duplicates of the pipeline: five-word shingles with a Jaccard similarity of 0.8 or more, verified exactly.
 
-64 majority bits cannot tell 0.8 from less (texts that alike differ in about ten bits, and up to seventeen), so candidates
-come from MinHash: BANDS bands of ROWS minima each, and two texts meet if one band is equal; at a similarity of 0.8 a pair is
-missed with a chance of 0.0004, below that candidates cost time only. Texts that meet, step by step, form a candidate group;
-the shingles of these texts alone are dealt out by group, and links inside it are found by comparing whole shingle sets, breadth
+Candidates are what operator 9's tiles link over wide SimHash fingerprints of these shingles (`simhash_tiles.wide_links`): at a
+similarity of 0.8 a pair is missed with a chance of about 0.0004, below that candidates cost time only. Texts that are linked, step
+by step, form a candidate group; the shingles of these texts alone are dealt out by group, and links inside it are found by comparing whole shingle sets, breadth
 first: a text reached is never compared again as a target, so a large group of like texts costs about one pass.
 
 A group of over LARGE texts is not one task. Its texts are compared with its first one, its pivot, wherever they lie; those that
@@ -25,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import HOT, holding, spread_join, stash
+from girder.llm import simhash_tiles
+from girder.llm.common import holding, spread_join, stash
 from girder.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 20, 5
 LARGE, PART = 4_000, 2_000  # texts of a candidate group that one task compares, and of a part of a larger one
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PRINTS = simhash_tiles.PRINTS
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -44,22 +43,19 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(_HASH, pieces), np.uint64))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 1 << 10):
-        np.minimum(least, (_FACTORS[:, None] * found[None, at : at + (1 << 10)]).min(1), out=least)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
-
-
 def node(found: np.ndarray) -> int:
     return int(np.uint64(_HASH(found.tobytes())).view(np.int64))
 
 
+EMPTY = node(np.empty(0, np.uint64))  # of null and empty texts, which are like no others
+
+
 def _marked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     holding("shingles")
     for part in parts:
         found = [shingles(t) for t in part.pop("text")]
-        yield part.assign(node=np.array([node(x) for x in found], np.int64), bands=[bands(x) for x in found])
+        made = np.array([simhash_tiles.wide(x) for x in found], np.uint64).reshape(-1, len(PRINTS)).view(np.int64)
+        yield part.assign(node=np.array([node(x) for x in found], np.int64), **dict(zip(PRINTS, made.T, strict=True)))
 
 
 def _shingled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,8 +95,8 @@ def _verified(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def marked(keyed: DataFrame) -> DataFrame:
-    """doc_id, __k, and the shingle set's hash and bands, of rows with doc_id, __k and text."""
-    return stash(keyed.select("doc_id", "__k", "text").mapInPandas(_marked, "doc_id long, __k long, node long, bands array<long>"))
+    """doc_id, __k, and the shingle set's hash and wide fingerprint, of rows with doc_id, __k and text."""
+    return stash(keyed.select("doc_id", "__k", "text").mapInPandas(_marked, ", ".join(f"{c} long" for c in ("doc_id", "__k", "node", *PRINTS))))
 
 
 def _crossed(group: pd.DataFrame) -> pd.DataFrame:
@@ -130,10 +126,8 @@ def large(sets: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def placed(keyed: DataFrame, rows: DataFrame, most: int = LARGE) -> DataFrame:
     """(node, root) of all distinct shingle sets, by verified links; `rows` are the `marked` ones of `keyed`."""
-    nodes = stash(rows.select("node", "bands").dropDuplicates(["node"]))
-    dealt = nodes.select("node", F.explode("bands").alias("key"))
-    shared = stash(dealt.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count("*").alias("n")).filter("a < last"))
-    found = stash(components(spread_join(dealt, shared.select("key", "a"), "key", shared.filter(F.col("n") > HOT)).select("a", F.col("node").alias("b"))))
+    nodes = stash(rows.select("node", *PRINTS).dropDuplicates(["node"]))
+    found = stash(components(simhash_tiles.wide_links(nodes.filter(F.col("node") != EMPTY))))
     sizes = stash(found.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > most))
     one = stash(spread_join(rows.select("node", "__k"), found, "node").groupBy("root", "node").agg(F.min("__k").alias("__one")))
     texts = keyed.select("__k", "text").join(one, F.col("__k") == F.col("__one")).select("root", "node", "text")

@@ -1,5 +1,6 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -78,3 +79,24 @@ def test_large_groups_in_parts(spark, monkeypatch):
     whole = {r["node"]: r["root"] for r in shingle_groups.placed(docs, rows).collect()}
     parts = {r["node"]: r["root"] for r in shingle_groups.placed(docs, rows, 5).collect()}
     assert len(set(whole.values())) == len(set(parts.values())) == len({(whole[n], parts[n]) for n in whole}) < 60
+
+
+def test_candidates_come_from_tiles_of_wide_fingerprints(spark):
+    """Links of wide fingerprints, by one group, by draws of bits and around pivots, against all texts alike by 0.8."""
+    from girder.llm import shingle_groups
+    from girder.llm.components import components
+
+    rnd = np.random.default_rng(2)
+    sets = [rnd.integers(0, 1 << 63, n, dtype=np.uint64) for n in rnd.integers(30, 400, 500)]
+    sets += [np.concatenate((s[: len(s) - len(s) // 9], rnd.integers(0, 1 << 63, len(s) // 9, dtype=np.uint64))) for s in sets]  # at 0.8 or just above
+    sets += [np.concatenate((sets[7][3:], rnd.integers(0, 1 << 63, 3, dtype=np.uint64))) for _ in range(300)]
+    prints = np.array([simhash_tiles.wide(s) for s in sets])
+    distance = np.bitwise_count(prints[:500] ^ prints[500:1000]).sum(1)
+    assert 0.12 < distance.mean() / 256 < 0.17 and distance.max() <= simhash_tiles.WIDE_RADIUS
+    nodes = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints.view(np.int64))], ", ".join(f"{c} long" for c in ("node", *shingle_groups.PRINTS)))
+    want = [i if i < 500 else i - 500 if i < 1000 else 7 for i in range(1300)]
+    for group, split in ((4096, 10**6), (128, 10**6), (128, 100)):
+        roots = {r["node"]: r["root"] for r in components(simhash_tiles.wide_links(nodes, group, split)).collect()}
+        found = [roots.get(i, i) for i in range(1300)]
+        assert all(f == i if i < 500 else True for i, f in enumerate(found))
+        assert sum(f == w for f, w in zip(found, want, strict=True)) >= 1298
