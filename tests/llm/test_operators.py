@@ -695,6 +695,21 @@ def test_encoder_on_odd_white_space():
         assert np.frombuffer(got, "<u2").tolist() == [*own.library.encode(t, add_special_tokens=False).ids, 0]
 
 
+def test_new_runs_are_encoded_together():
+    own, sent = id_files.Encoder(id_files.vocabulary()), []
+    plain, rnd = own._ids, random.Random(2)
+    own._ids = lambda texts: sent.extend(texts) or plain(texts)
+    words = ["".join(rnd.choice(["an", "the", "ol", "é", "Q", "ß"]) for _ in range(6)) for _ in range(4000)]
+    texts = [" ".join(words[a : a + 40]) + rnd.choice([".", "?!", "\n", ""]) for a in range(0, 4000, 40)]
+    pieces = [*words[:9], "×", "'s", "don't", ".", ",", "?!", ").", "5", "7;", "\n", " ", " ", " ", "\x85", "Ġ", "ª", "²", "<|", "日本"]
+    texts += ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 25))) for _ in range(3000)] + ["", "\n", "a\nb", "x" * 50 + "."] * 2
+    got = own.documents(texts[:100])
+    assert len(sent) < 200  # not one text a new run
+    got += own.documents(texts[100:])
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == [*own.library.encode(t, add_special_tokens=False).ids, 0]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1023, 1024, 1025, 5000])
 def test_coder_round_trip(n):
     rnd = np.random.default_rng(n)
